@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,9 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's cleaner drop shuffle files that no live plan refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver's cleaner drop shuffle files that no live plan refers to, and give it a moment to do so."""
+    for _ in range(2):  # Python's references to plans go first, then the plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

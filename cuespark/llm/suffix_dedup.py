@@ -32,10 +32,12 @@ PERIOD = 16
 COVER = (0, 1, 2, 5, 8)
 #: Text that a map task deals out at a time; text that is hashed at a time; segments that a bucket holds on average.
 BLOCK_BYTES = 12 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 15
 BUCKET_BYTES = 8 << 20
 #: Segments of a bucket hold this many times the text, about.
 SPREAD = 3.5
+#: Buckets are sorted in so many rounds, each with a scan of its own; a round's segments leave the disk before the next one's come.
+ROUNDS = 2
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SHIFT = [[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)]
 
@@ -85,8 +87,8 @@ def _read(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, b
     return table, *three, raw[at + 12 * n : at + 12 * n + t]
 
 
-def _dealer(buckets: int, doc_parts: int):
-    """Texts to segments by bucket; spans that a smaller document of the same block settles go straight to their document's part."""
+def _dealer(buckets: int, doc_parts: int, turn: int = 0, rounds: int = 1):
+    """Texts to segments of this turn's buckets; spans that a smaller document of the same block settles go straight to their document's part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "cs_text", BLOCK_BYTES):
@@ -101,7 +103,8 @@ def _dealer(buckets: int, doc_parts: int):
             for i, key, text in rows:
                 least = first.setdefault(text, i)
                 if least < i:
-                    spans.append((i, key, 0, len(text)))
+                    if turn == 0:
+                        spans.append((i, key, 0, len(text)))
                 elif not own or own[-1][:2] != (i, key):
                     own.append((i, key, text))
             del rows
@@ -117,7 +120,7 @@ def _dealer(buckets: int, doc_parts: int):
                     to[max(0, e - WINDOW + 1) : e] = -1
                 cuts = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]))
                 begin, stop, to = cuts[:-1], cuts[1:] + WINDOW - 1, to[cuts[:-1]]
-                good = to >= 0
+                good = (to >= 0) & (to % rounds == turn)
                 begin, stop, to = begin[good], stop[good], to[good]
                 doc = np.searchsorted(ends, begin, "right")
                 seen: dict[bytes, int] = {}
@@ -269,15 +272,19 @@ def suffix_ranks(text: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(text: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the WINDOW bytes from each place."""
+    """A 64-bit hash of the WINDOW bytes from each place; text has at least that many."""
+    n = len(text) - WINDOW + 1
+    out = np.empty(n, np.uint64)
     with np.errstate(over="ignore"):
-        h = (text.astype(np.uint64) + np.uint64(1)) * _M1
-        span = 1
-        while 2 * span <= WINDOW:
-            h = (h[:-span] ^ (h[:-span] >> np.uint64(29))) * _M2 + h[span:]
-            span *= 2
-        rest = WINDOW - span
-        return (h[: len(h) - rest] ^ (h[: len(h) - rest] >> np.uint64(31))) * _M3 + h[rest:] if rest else h
+        for at in range(0, n, SLICE_BYTES):
+            h = (text[at : min(at + SLICE_BYTES, n) + WINDOW - 1].astype(np.uint64) + np.uint64(1)) * _M1
+            span = 1
+            while 2 * span <= WINDOW:
+                h = (h[:-span] ^ (h[:-span] >> np.uint64(29))) * _M2 + h[span:]
+                span *= 2
+            rest = WINDOW - span
+            out[at : at + len(h) - rest] = (h[: len(h) - rest] ^ (h[: len(h) - rest] >> np.uint64(31))) * _M3 + h[rest:]
+    return out
 
 
 def sort_bucket(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
@@ -427,18 +434,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     n = partitions(spark)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = int(max(4 * n, total * SPREAD / BUCKET_BYTES))
+    buckets = int(max(4 * n * ROUNDS, total * SPREAD / BUCKET_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("cs_id"), F.xxhash64(text_col).alias("cs_key"), F.col(text_col).alias("cs_text"))
-    spans = stored(
-        arrow_map(rows, _dealer(buckets, n), "kind int, place int, blob binary")
-        .repartition(n, "kind", "place")
-        .sortWithinPartitions("kind", "place")
-        .mapInArrow(_sorter(n), "kind int, place int, blob binary")
-        .select("place", "blob"),
-        "suffix-spans",
-    )
-    release(spark)
-
+    spans = None
+    for turn in range(ROUNDS):
+        found = stored(
+            arrow_map(rows, _dealer(buckets, n, turn, ROUNDS), "kind int, place int, blob binary")
+            .repartition(n, "kind", "place")
+            .sortWithinPartitions("kind", "place")
+            .mapInArrow(_sorter(n), "kind int, place int, blob binary")
+            .select("place", "blob"),
+            "suffix-spans",
+        )
+        spans = found if spans is None else spans.unionByName(found)
+        release(spark)
     names = ["place", "cs_id", "cs_key", "cs_text", *(f"cs_c{k}" for k in range(len(carry)))]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
