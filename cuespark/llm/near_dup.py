@@ -293,8 +293,9 @@ def near_duplicates(
     )
     chosen = groups.select(F.col("node").alias("rep"), "label").join(blocks, "label")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("cs_text")).where("rep is not null")
+    # the ids of candidates grow with the corpus, so they are never broadcast
     confirmed = (
-        _pairs_of_blocks(texts.join(stored(chosen, "near-chosen"), "rep"), "label")
+        _pairs_of_blocks(texts.join(stored(chosen, "near-chosen").hint("merge"), "rep"), "label")
         .select("g", "bi", "bj", "block", "rep", "cs_text")
         .repartition(n, "g", "bi", "bj")
         .sortWithinPartitions("g", "bi", "bj")
