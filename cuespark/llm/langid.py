@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm._util import arrow_map, pieces
+from cuespark.llm._util import arrow_map, pieces, stored
 
 #: A bounded sample of labelled rows is trained on: at most so many rows a language, and so many characters of them in total.
 TRAIN_ROWS = 3000
@@ -154,7 +154,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[s
     )
     out: dict[str, list[str]] = {}
     chars: Counter = Counter()
-    for r in picked.toLocalIterator(prefetchPartitions=True):
+    # the scan runs on all executors; the driver then reads the bounded sample alone, in an order that no file layout changes
+    for r in stored(picked, "language-sample").orderBy(order, "i").toLocalIterator(prefetchPartitions=True):
         if chars[r["l"]] < TRAIN_CHARS:
             out.setdefault(r["l"], []).append(r["x"])
             chars[r["l"]] += len(r["x"])
