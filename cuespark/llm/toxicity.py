@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm._util import arrow_map, pieces
+from cuespark.llm._util import arrow_map, pieces, stored
 
 #: Bounds of the sample the weights are fitted on: rows of each label.
 TRAIN_TOXIC = 5000
@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = F.broadcast(marks.where(keep))  # at most about TRAIN_TOXIC + TRAIN_OTHER rows of two numbers
     picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x")).where("x is not null").join(chosen, "i")
     texts, ys, df = [], [], {}
-    for r in picked.toLocalIterator(prefetchPartitions=True):
+    # the scan runs on all executors; the driver then reads the bounded sample alone, in order of the ids
+    for r in stored(picked, "toxicity-sample").orderBy("i").toLocalIterator(prefetchPartitions=True):
         own = features(r["x"])
         # only the features and identity terms of a text stay in the driver's memory, as text to be read again
         for f in own:
