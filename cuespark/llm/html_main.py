@@ -3,9 +3,9 @@
 A page is read into blocks of text, each with the tag path from the root to it. Per path the
 text length, the punctuation and the linked text of its blocks are summed; text and
 punctuation per block are smoothed along the page, fused into one ratio, and paths over a
-threshold are content. The part of the page that holds the content paths (an article, else
-the element with most of their text) is the article; its blocks make the text, without those
-in elements that are boilerplate by name, role or class.
+threshold are content. The lowest element that holds all blocks of content paths is the
+article, or the <article> or <main> around it; its blocks make the text, without those in
+elements that are boilerplate by name, role or class.
 """
 
 from __future__ import annotations
@@ -238,6 +238,25 @@ def path_ratios(page: list[Block]) -> tuple[dict[str, float], dict[str, float]]:
     return fused, {p: t[3] / max(1, t[1]) for p, t in total.items()}
 
 
+def _home(node: Node) -> Node:
+    """The element around a block's own, within the body."""
+    return node.parent if node.parent is not None and node.parent.name not in ("", "html") else node
+
+
+def common(nodes: list[Node]) -> Node:
+    """The lowest element that holds all nodes, or is one of them and holds the rest."""
+    line = [nodes[0]]
+    while line[-1].parent is not None:
+        line.append(line[-1].parent)
+    place = {n: k for k, n in enumerate(line)}
+    at = 0
+    for n in dict.fromkeys(nodes):
+        while n not in place:
+            n = n.parent
+        at = max(at, place[n])
+    return line[at]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: white space in a block is one space, blocks are joined by one."""
     found = blocks(page) if page else []
@@ -248,31 +267,25 @@ def main_text(page: str | None) -> str:
     mean = sum(fused[b.node.path] * len(b.text) for b in found) / chars
     content = {p for p in fused if fused[p] >= THRESHOLD * mean and links[p] <= MOST_LINKS}
     content = content or {max(fused, key=lambda p: (fused[p], p))}
-    mass: dict[Node, int] = {}
-    for b in found:
-        if b.node.path in content:
-            home = b.node.root
-            if home is None:
-                home = b.node.parent if b.node.parent is not None and b.node.parent.name not in ("", "html") else b.node
-            mass[home] = mass.get(home, 0) + len(b.text)
-    rooted = {n: m for n, m in mass.items() if n.root is n}
-    most = max((rooted or mass).values())
-    homes = {n for n, m in (rooted or mass).items() if m >= 0.25 * most}
-
-    def inside(b: Block) -> bool:
-        n: Node | None = b.node
-        while n is not None:
-            if n in homes:
-                return True
+    article = common([_home(b.node) for b in found if b.node.path in content])
+    article = article.root or article
+    held = {article: True}
+
+    def inside(node: Node) -> bool:
+        way: list[Node] = []
+        n: Node | None = node
+        while n is not None and n not in held:
+            way.append(n)
             n = n.parent
-        return False
+        held.update(dict.fromkeys(way, n is not None and held[n]))
+        return held[node]
 
-    first = next(k for k, b in enumerate(found) if inside(b))
+    first = next(k for k, b in enumerate(found) if inside(b.node))
     kept = [
         b.text
         for k, b in enumerate(found)
-        if inside(b) and (b.node.root is not None or links[b.node.path] <= MOST_LINKS)
-        or not rooted and k < first and b.node.name == "h1"
+        if inside(b.node) and (b.node.root is not None or links[b.node.path] <= MOST_LINKS)
+        or article.root is None and k < first and b.node.name == "h1"
     ]
     return " ".join(kept)
 

@@ -293,6 +293,16 @@ def test_html():
     assert html_main.main_text("<div>" * 3000 + "deep, text." + "</div>" * 10) == "deep, text."
 
 
+def test_html_keeps_short_parts():
+    long, short = "Words of a long part, and more of them. " * 100, "A short part, of some words. " * 20
+    parts = [f"<section><p>{long}</p></section>", "<h2>Between</h2>", f"<section><p>{short}</p></section>"]
+    want = f"{long.strip()} Between {short.strip()}"
+    assert html_main.main_text(f"<body><div>{''.join(parts)}</div></body>") == want
+    assert html_main.main_text(f"<body>{''.join(parts)}</body>".replace("section>", "article>")) == want
+    wrapped = [f"Paragraph {k}, " + "with words, " * n + "and an end." for k, n in enumerate((100, 12, 80, 15))]
+    assert html_main.main_text("<body><div>" + "".join(f"<div><p>{x}</p></div>" for x in wrapped) + "</div></body>") == " ".join(wrapped)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b.</p>", "z"), (2, None, None, "z"), (2, None, None, "z")], "page_id bigint, url string, html string, text string")
     assert collected(html_main.extract(df), "page_id", "text", "n_chars") == [(1, "a b.", 4), (2, "", 0), (2, "", 0)]
