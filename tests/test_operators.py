@@ -10,7 +10,7 @@ from cuespark.operators.ranges import drop_in_ranges, range_counts
 from cuespark.operators.reconcile import collapse, first_majority, majority_text
 from cuespark.operators.runs import identical_runs
 from cuespark.operators.segment import anchored_groups
-from cuespark.plans import checkpoint
+from cuespark.plans import checkpoint, queries
 from cuespark.plans.captions import captions
 from cuespark.schema import EVENT
 from cuespark.sources.models import ScriptedClient
@@ -106,6 +106,16 @@ def test_pipeline_resumes(spark, tmp_path):
     assert [x.rsplit("}")[-1] for x in content.split("\n") if x.startswith("Dialogue")] == ["b", "a"]
 
 
+def test_pipeline_query_takes_every_frame(spark, tmp_path, monkeypatch):
+    store = checkpoint.Store(spark, f"{tmp_path}/store")
+    monkeypatch.setattr(checkpoint, "Store", lambda *_: store)
+    rows = [(96, "click", 0.0), (97, "purchase", 500.0), (98, "click", 1000.0)]
+    events = spark.createDataFrame([(i, 1, f"2024-01-01 0{i - 95}:00:00", k, v) for i, k, v in rows], "event_id bigint, user_id bigint, ts string, event_type string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    content = queries.pipeline_end_to_end(spark, str(tmp_path)).collect()[0].content
+    assert [x.rsplit("}")[-1] for x in content.split("\n") if x.startswith("Dialogue")] == ["click", "purchase", "click"]
+
+
 def test_last_write_wins(spark):
     lines = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("zz", 3, "s")], "id string, line_no bigint, payload string")
     elements = spark.createDataFrame([("b", 1), ("a", 0)], "id string, seq bigint")
