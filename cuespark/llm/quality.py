@@ -1,6 +1,7 @@
 """Quality rules: word and line counts, and compression bands.
 
-A document is compressed by zstandard as a whole and in fixed chunks. Text that compresses
+A document is compressed by zstandard as a whole and, if longer than a chunk, in fixed chunks, the
+last of which ends with the text (it can overlap the one before), so that every byte is in one. Text that compresses
 much better than prose of its length repeats itself; text that hardly compresses is noise.
 The limits depend on the length, as short texts compress less. One pass, no shuffle.
 """
@@ -75,7 +76,8 @@ def in_band(text: bytes, press: zstandard.ZstdCompressor) -> tuple[float, int, i
         return 1.0, 0, 0, True
     ratio = size / len(press.compress(text))
     low, high = next((a, b) for most, a, b in WHOLE_BANDS if size <= most)
-    chunks = [text[k : k + CHUNK_BYTES] for k in range(0, size - CHUNK_BYTES + 1, CHUNK_BYTES)] if size > CHUNK_BYTES else []
+    starts = [*range(0, size - CHUNK_BYTES, CHUNK_BYTES), size - CHUNK_BYTES] if size > CHUNK_BYTES else []
+    chunks = [text[k : k + CHUNK_BYTES] for k in starts]
     out = sum(not CHUNK_BAND[0] <= len(x) / len(press.compress(x)) <= CHUNK_BAND[1] for x in chunks)
     return ratio, len(chunks), out, low <= ratio <= high and out <= CHUNK_SHARE * len(chunks)
 
