@@ -2,7 +2,7 @@
 
 Training counts the n-grams of a bounded sample of labelled texts per language and puts each
 language's characteristic n-grams into a Bloom filter. All filters share their hash
-positions, so they are stored bit-sliced: one word of language bits per position. ANDing the
+positions, so they are stored bit-sliced: the language bits of a position side by side, in as many words as they take. ANDing the
 words at an n-gram's positions returns every language whose filter contains it. A text's
 score per language is the popcount over its n-grams, corrected for that filter's measured rate of false
 positives; the best language is returned.
@@ -31,14 +31,13 @@ GRAMS_PER_LANGUAGE = 60_000
 SHARE = 0.5
 LOG2_SLOTS = 21
 HASHES = 3
-MOST_LANGUAGES = 64
 UNDETERMINED = "und"
 _MULT = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
 @dataclass
 class Model:
-    """languages in order of their bits; table: language bits by slot; rates: false positives per language."""
+    """languages in order of their bits; table: by slot a byte for up to 8 languages, else one uint64 for every 64; rates: false positives per language."""
 
     languages: list[str]
     table: np.ndarray
@@ -83,9 +82,19 @@ def contains(model: Model, h: np.ndarray) -> np.ndarray:
     return bits
 
 
+def bits_of(bits: np.ndarray, k: int) -> np.ndarray:
+    """The words that hold the bit of language k."""
+    return bits if bits.ndim == 1 else bits[:, k // 64]
+
+
+def known(bits: np.ndarray, k: int) -> int:
+    """In how many rows of bits language k has its bit."""
+    return np.count_nonzero(bits_of(bits, k) & bits.dtype.type(1 << k % 64))
+
+
 def train(samples: dict[str, list[str]]) -> Model:
-    """A model of {language: texts}; at most MOST_LANGUAGES, those with most text first."""
-    languages = sorted(sorted(samples, key=lambda x: (-sum(map(len, samples[x])), x))[:MOST_LANGUAGES])
+    """A model of {language: texts}, of all of its languages."""
+    languages = sorted(samples)
     counts: list[Counter] = []
     for lang in languages:
         c: Counter = Counter()
@@ -98,15 +107,14 @@ def train(samples: dict[str, list[str]]) -> Model:
     for c, total in zip(counts, totals, strict=True):
         for key, n in c.items():
             best[key] = max(best.get(key, 0.0), n / total)
-    kind = np.uint8 if len(languages) <= 8 else np.uint64
-    table = np.zeros(1 << LOG2_SLOTS, kind)
+    table = np.zeros(1 << LOG2_SLOTS, np.uint8) if len(languages) <= 8 else np.zeros((1 << LOG2_SLOTS, -(-len(languages) // 64)), np.uint64)
     sizes = []
     for k, (c, total) in enumerate(zip(counts, totals, strict=True)):
         own = [key for key, n in c.most_common() if n >= 2 and n / total >= SHARE * best[key]][:GRAMS_PER_LANGUAGE]
         sizes.append(len(own))
         for s in slots(np.array(own, np.uint64)):
-            table[s] |= kind(1 << k)
-    fill = np.array([np.count_nonzero(table & kind(1 << k)) / len(table) for k in range(len(languages))])
+            bits_of(table, k)[s] |= table.dtype.type(1 << k % 64)
+    fill = np.array([known(table, k) / len(table) for k in range(len(languages))])
     return Model(languages, table, fill**HASHES, np.array(sizes))
 
 
@@ -122,7 +130,7 @@ def predict(model: Model, text: str | None) -> tuple[str, float]:
         n = np.bincount(bits, minlength=256)
         hits = n @ ((np.arange(256)[:, None] >> np.arange(len(model.languages))) & 1)
     else:
-        hits = np.array([np.count_nonzero(bits & np.uint64(1 << k)) for k in range(len(model.languages))])
+        hits = np.array([known(bits, k) for k in range(len(model.languages))])
     share = np.clip((hits / len(h) - model.rates) / (1 - model.rates), 0, 1)
     k = int(np.argmax(share))
     total = share.sum()
@@ -137,18 +145,16 @@ def held_out(id_col: Column) -> Column:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """A bounded sample of labelled rows for training, by hash of the id, alike for every language.
 
-    At most MOST_LANGUAGES * TRAIN_ROWS ids reach the driver, then their texts up to a bound of characters.
+    About TRAIN_ROWS rows of each language reach the driver, whose texts are kept up to TRAIN_CHARS.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.length(text_col).alias("n")).where(
         F.col("l").isNotNull() & (F.col("n") > 0) & ~held_out(F.col("i"))
     )
     order = F.xxhash64("i")
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()}
-    share = F.lit(False)
-    for lang, n in counts.items():
-        # a fixed share of each language's hash range, so that the expected number is the bound
-        part = min(1.0, TRAIN_ROWS / n)
-        share = share | ((F.col("l") == lang) & (F.pmod(order, F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1.0)))
+    # a fixed share of each larger language's hash range, so that the expected number is the bound; of the others all
+    large = rows.groupBy("l").count().where(F.col("count") > TRAIN_ROWS).orderBy("l").collect()
+    parts = [F.lit(x) for r in large for x in (r["l"], int(TRAIN_ROWS / r["count"] * (1 << 20)))]
+    share = F.pmod(order, F.lit(1 << 20)) < F.coalesce(F.create_map(*parts)[F.col("l")], F.lit(1 << 20)) if parts else F.lit(True)
     picked = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("x")).where(
         F.col("l").isNotNull() & (F.length("x") > 0) & ~held_out(F.col("i")) & share
     )
@@ -170,7 +176,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score) of every row. Null text or text without a letter is `und`, score 0.
 
-    The model's size is fixed (2^LOG2_SLOTS words), so it is broadcast. Repeated rows give
+    The model's size is 2^LOG2_SLOTS words for every 64 languages, whatever the rows, so it is broadcast. Repeated rows give
     repeated rows; other columns are ignored; ties go to the language that sorts first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -221,6 +221,17 @@ def test_language(spark, rows, docs):
     assert langid.identify(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    own = random.Random(6)
+    words = {f"l{k:02}": ["".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(70)}
+    texts = {lang: [" ".join(own.choices(w, k=60 if lang < "l60" else 20)) for _ in range(3)] for lang, w in words.items()}
+    model = langid.train(texts)
+    assert model.languages == sorted(words)
+    assert [langid.predict(model, " ".join(w))[0] for w in words.values()] == list(words)
+    docs = spark.createDataFrame([(k * 9 + j, x, lang) for k, (lang, xs) in enumerate(texts.items()) for j, x in enumerate(xs * 3)], "doc_id bigint, text string, lang string")
+    assert set(langid.sample(docs, "doc_id", "text", "lang")) == set(words)
+
+
 def test_toxicity(spark):
     def make(k):
         bad = k % 3 == 0
