@@ -29,7 +29,14 @@ RULES: tuple[tuple[str, str, int, int], ...] = (
     ),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0, 1),
+    # the block up to its END line (up to eight single hyphens are in its headers), else the base64 lines that follow
+    (
+        "pem",
+        r"""-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z0-9 ]*PRIVATE KEY-----"""
+        r"""|(?:[\x20\t\r\n]|\\[nr]){0,8}[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=\\\r\n]*)?""",
+        0,
+        1,
+    ),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     ("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
@@ -161,9 +168,14 @@ def scan(
     return result, new
 
 
+def _masking(rules) -> list:
+    """Key blocks first, so that no other rule masks a part of one and leaves the rest unknown."""
+    return sorted(rules, key=lambda rule: rule[0] != "pem")
+
+
 def redacted(text: Column, rules=RULES, mask: str = "[SECRET]") -> Column:
     """text with every kept match replaced by mask; rules run one after another, null stays null."""
-    for _, pattern, group, least in rules:
+    for _, pattern, group, least in _masking(rules):
         whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         counted = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
         put = F.zip_with(whole, counted, lambda m, c: F.when(F.char_length(c) >= least, F.lit(mask)).otherwise(m))  # noqa: B023
@@ -175,13 +187,15 @@ def redacted(text: Column, rules=RULES, mask: str = "[SECRET]") -> Column:
 def redact(docs: DataFrame, ledger: DataFrame | None = None, key_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """docs with the secrets that a scan finds masked in the text; all other columns stay.
 
-    Rows without a finding, or without a key, keep their text.
+    Rows without a finding keep their text. Findings are looked up by content, so rows without a key are masked too.
     """
-    found, _ = scan(docs.where(F.col(key_col).isNotNull()), ledger, key_col, text_col, rules)
-    hit = stored(found.where("spans <> ''").select(F.col(key_col).alias("cs_key")).distinct(), "secret-hits")
-    joined = docs.join(hit, F.col(key_col) == F.col("cs_key"), "left")
+    ledger = empty_ledger(docs.sparkSession) if ledger is None else ledger
+    _, new = scan(docs, ledger, key_col, text_col, rules)
+    known = ledger.where(F.col("rule_version") == rule_version(rules)).select("blob", "spans").unionByName(new.select("blob", "spans"))
+    hit = stored(known.where("spans <> ''").select(F.col("blob").alias("cs_key")).distinct(), "secret-hits")
+    joined = docs.join(hit, address(F.col(text_col)) == F.col("cs_key"), "left")
     # one column for each rule, so that no expression holds another's twice
     out = joined.withColumn("cs_hit", F.col("cs_key").isNotNull())
-    for rule in rules:
+    for rule in _masking(rules):
         out = out.withColumn(text_col, F.when(F.col("cs_hit"), redacted(F.col(text_col), (rule,))).otherwise(F.col(text_col)))
     return out.select(*docs.columns)

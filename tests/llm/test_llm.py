@@ -82,6 +82,27 @@ def test_secrets(spark, rows, docs):
     assert secret_scan.scan(docs.limit(0))[0].count() == 0
 
 
+def test_whole_keys_are_masked(spark):
+    own = random.Random(7)
+    lines = [base64.b64encode(own.randbytes(48)).decode() for _ in range(30)]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    keys = [
+        "\n".join((head, *lines, end)),
+        "\\n".join((head, *lines, end)),
+        "\r\n".join((head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,00AA", "", *lines, end)),
+        "\n".join((head, *lines)),
+        head,
+    ]
+    texts = [f"{front}{key} - the rest" for key in keys for front in ("an é: ", "secret: ")]
+    df = spark.createDataFrame([(None if k % 3 == 0 else k, k, x) for k, x in enumerate(texts)], "doc_id bigint, k bigint, text string")
+    spans = {r.k: r.spans for r in df.drop("doc_id").transform(lambda x: secret_scan.scan(x, key_col="k")[0]).collect()}
+    masked = {r.k: r.text for r in secret_scan.redact(df).collect()}
+    for k, x in enumerate(texts):
+        front, key = x[: x.index(head)], keys[k // 2]
+        assert f"pem:{len(front)}:{len(front) + len(key)}" in spans[k].split(",")
+        assert masked[k] == f"{front}[SECRET] - the rest"
+
+
 def test_quality(spark, rows, docs):
     def want(r):
         text = r[1] or ""
