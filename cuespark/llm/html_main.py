@@ -1,15 +1,17 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read into blocks of text, each with the tag path from the root to it. Per path the
-text length, the punctuation and the linked text of its blocks are summed; text and
-punctuation per block are smoothed along the page, fused into one ratio, and paths over a
-threshold are content. The lowest element that holds all blocks of content paths is the
-article, or the <article> or <main> around it; its blocks make the text, without those in
-elements that are boilerplate by name, role or class.
+text length, the punctuation and the linked text of its blocks are summed; a path's ratio is
+the text of a block by its punctuation, by its share of the page's text and of text that isn't linked.
+Names of furniture (nav, footer, class words ...) are one more signal: a path below one has a fraction of its
+ratio, unless that element holds nearly all of the page's text. Ratios are smoothed from a path to those above it in
+the article, for headings from the block that follows, for lists outside the article from the one before; paths over a threshold are content,
+and the blocks of content paths, in page order, are the text. No block is kept or left out by anything else.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Iterator
@@ -27,10 +29,12 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q ruby rb rp rt s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-FURNITURE = frozenset(
-    "head nav footer aside form script style noscript template iframe object embed svg canvas audio video dialog menu button select option "
-    "textarea input title math map applet fieldset datalist".split()
+#: Elements whose content is no text of the page.
+SILENT = frozenset(
+    "head script style noscript template iframe object embed svg canvas audio video dialog button select option textarea input title map applet datalist".split()
 )
+#: Elements, roles and class or id words of furniture.
+FURNITURE = frozenset("nav footer aside form menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars menu menus nav navbar "
@@ -39,8 +43,13 @@ NAMES = frozenset(
     "signup login search widget toolbar pagination pager skip hidden".split()
 )
 HEADER_NAMES = frozenset("header masthead topbar".split())
+#: Words that stand beside one of these in the name of the furniture itself; with any other the name may be of something around it.
+NEUTRAL = frozenset("area bar block box container form item items left list right row section site top bottom wrap wrapper unit slot".split())
+NEGATING = frozenset("has no with without free non".split())
 ROOTS = frozenset(("article", "main"))
-SAFE = frozenset(("html", "body", "article", "main"))
+ROOT_NAMES = frozenset("comment comments reply ad advert sponsored promo teaser related".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd td th".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
     "main menu nav ol p pre section summary table ul".split()
@@ -57,55 +66,80 @@ _ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…。、，；：！？]")
 
-#: Weight of the blocks next to a block when ratios are smoothed; the share of the mean ratio that a content path has at least.
-SMOOTH = 0.25
-THRESHOLD = 0.35
-MOST_LINKS = 0.6
+#: Text and punctuation of a block beyond which its path's ratio doesn't grow.
+FULL_TEXT, FULL_PUNCT = 400, 8
+#: What a path above counts for against the path below it; a path in an <article> or <main> against others.
+DECAY = 0.8
+ROOTED = 3.0
+#: The part that linked text counts for at least.
+LINKED = 0.02
+#: The part of the largest ratio that a content path has at least; paths that say where the article is have STRONG of it.
+THRESHOLD = 0.05
+STRONG = 0.3
+#: By kind of furniture: the factor of ratios below; and the share of its own text outside, under which the element is no furniture.
+FACTOR = {"element": 0.0001, "name": 0.0002, "part": 0.1}
+ALONE = {"element": 0.02, "name": 0.02, "part": 0.5}
 
 
 class Node:
-    __slots__ = ("label", "name", "off", "parent", "path", "root")
+    """An element: furniture is its kind of furniture or None; path is set when ratios are computed."""
 
-    def __init__(self, name: str, parent: Node | None, off: bool, label: str) -> None:
-        self.name, self.parent, self.label = name, parent, label
+    __slots__ = ("furniture", "label", "name", "off", "parent", "path", "root")
+
+    def __init__(self, name: str, parent: Node | None, off: bool, label: str, furniture: str | None = None) -> None:
+        self.name, self.parent, self.label, self.furniture = name, parent, label, furniture
         self.off = off or (parent is not None and parent.off)
-        self.root = (parent.root if parent is not None and parent.root is not None else None) or (self if name in ROOTS and not self.off else None)
-        self.path = f"{parent.path}/{label}" if parent is not None else label
+        self.root = name in ROOTS and furniture is None or parent is not None and parent.root
+        self.path = -1
 
 
 class Block:
-    __slots__ = ("linked", "node", "text")
+    __slots__ = ("linked", "node", "punct", "text")
 
     def __init__(self, node: Node, text: str, linked: int) -> None:
         self.node, self.text, self.linked = node, text, linked
+        self.punct = len(_PUNCT.findall(text))
+
+    def weight(self) -> float:
+        return min(len(self.text), FULL_TEXT) * (1 + min(self.punct, FULL_PUNCT)) * max(LINKED, 1 - self.linked / len(self.text))
+
 
+def _named(value: str, names: frozenset[str]) -> str | None:
+    """Whether class or id words name furniture (name), may name what holds it (part), or neither."""
+    found = None
+    for token in value.split():
+        words = {x.lower() for x in _SPLIT.split(token) if x and not x.isdigit()}
+        if words & names:
+            if words <= names | NEUTRAL:
+                return "name"
+            found = None if words & NEGATING and found is None else "part"
+    return found
 
-def _furniture(name: str, attrs: str, in_root: bool) -> bool:
-    if name in FURNITURE:
-        return True
-    if name == "header" and not in_root:
-        return True
+
+def signals(name: str, attrs: str, in_root: bool) -> tuple[bool, str | None]:
+    """(whether an element is silent, its kind of furniture)."""
+    if name in SILENT:
+        return True, None
+    kind = "element" if name in FURNITURE or name == "header" and not in_root else None
     if not attrs or name in ("html", "body"):
-        return False
+        return False, kind
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "role" and value.lower() in ROLES:
-            return True
+            return True, None
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if key in ("class", "id"):
-            words = {x.lower() for x in _SPLIT.split(value)}
-            if name in ("article", "main"):
-                words &= {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "teaser", "related"}
-            if words & NAMES or not in_root and words & HEADER_NAMES:
-                return True
-    return False
+            return True, None
+        if kind in ("element", "name"):
+            continue
+        if key == "role" and value.lower() in ROLES:
+            kind = "element"
+        elif key in ("class", "id"):
+            kind = _named(value, ROOT_NAMES if name in ROOTS else NAMES if in_root else NAMES | HEADER_NAMES) or kind
+    return False, kind
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, furniture left out. Unclosed and stray tags are allowed."""
+    """The blocks of a page in order, without those in silent elements. Unclosed and stray tags are allowed."""
     top = Node("", None, False, "")
     stack = [top]
     out: list[Block] = []
@@ -195,7 +229,7 @@ def blocks(page: str) -> list[Block]:
         if name == "body":
             del stack[1 + (len(stack) > 1 and stack[1].name == "html") :]
         parent = stack[-1]
-        off = parent.off or _furniture(name, attrs, parent.root is not None)
+        silent, furniture = (True, None) if parent.off else signals(name, attrs, parent.root)
         label = name
         if not inline and "class" in attrs and (c := re.search(r"class\s*=\s*[\"']?([\w-]+)", attrs)):
             label = f"{name}.{c[1]}"
@@ -208,46 +242,52 @@ def blocks(page: str) -> list[Block]:
             continue
         if attrs.endswith("/") and name in ("svg", "math"):
             continue
-        stack.append(Node(name, parent, off, label))
+        stack.append(Node(name, parent, silent, label, furniture))
         links += name == "a"
     end()
     return out
 
 
-def path_ratios(page: list[Block]) -> tuple[dict[str, float], dict[str, float]]:
-    """(fused ratio of each path, its share of linked text)."""
-    total: dict[str, list[float]] = {}
-    for b in page:
-        t = total.setdefault(b.node.path, [0, 0, 0, 0])
-        t[0] += 1
-        t[1] += len(b.text)
-        t[2] += len(_PUNCT.findall(b.text))
-        t[3] += b.linked
-    text = {p: t[1] / t[0] for p, t in total.items()}
-    punct = {p: t[2] / t[0] for p, t in total.items()}
-    n = len(page)
-    smooth: dict[str, list[float]] = {}
-    for k, b in enumerate(page):
-        near = [page[j].node.path for j in (k - 1, k + 1) if 0 <= j < n]
-        path = b.node.path
-        rest = 1 - SMOOTH * len(near)
-        s = smooth.setdefault(path, [0, 0])
-        s[0] += rest * text[path] + SMOOTH * sum(text[p] for p in near)
-        s[1] += rest * punct[path] + SMOOTH * sum(punct[p] for p in near)
-    fused = {p: (s[0] / total[p][0]) * (1 + s[1] / total[p][0]) for p, s in smooth.items()}
-    return fused, {p: t[3] / max(1, t[1]) for p, t in total.items()}
-
+def lift_furniture(page: list[Block]) -> None:
+    """Take the mark of furniture from elements that hold nearly all of the text, the largest first: names can be wrong.
 
-def _home(node: Node) -> Node:
-    """The element around a block's own, within the body."""
-    return node.parent if node.parent is not None and node.parent.name not in ("", "html") else node
+    An element stays marked if the text outside all marked elements is over a share (ALONE) of what it holds.
+    """
+    own: dict[Node | None, float] = {}
+    above: dict[Node, Node | None] = {}
+    for b in page:
+        marked = [n for n in _line(b.node) if n.furniture]
+        for n, m in zip(marked, [*marked[1:], None], strict=False):
+            above[n] = m
+        first = marked[0] if marked else None
+        own[first] = own.get(first, 0.0) + b.weight()
+    held = {n: own.get(n, 0.0) for n in above}
+    below: dict[Node | None, list[Node]] = {}
+    depth = {n: sum(1 for _ in _line(n)) for n in above}
+    for n in sorted(above, key=lambda n: -depth[n]):
+        below.setdefault(above[n], []).append(n)
+        if (m := above[n]) is not None:
+            held[m] += held[n]
+    outside = own.get(None, 0.0)
+    todo = [(-ALONE[n.furniture] * held[n], k, n) for k, n in enumerate(below.get(None, []))]
+    heapq.heapify(todo)
+    while todo and outside < -todo[0][0]:
+        n = heapq.heappop(todo)[2]
+        n.furniture = None
+        outside += own.get(n, 0.0)
+        for m in below.get(n, []):
+            heapq.heappush(todo, (-ALONE[m.furniture] * held[m], len(above) + id(m), m))
+
+
+def _line(node: Node | None):
+    while node is not None:
+        yield node
+        node = node.parent
 
 
 def common(nodes: list[Node]) -> Node:
     """The lowest element that holds all nodes, or is one of them and holds the rest."""
-    line = [nodes[0]]
-    while line[-1].parent is not None:
-        line.append(line[-1].parent)
+    line = list(_line(nodes[0]))
     place = {n: k for k, n in enumerate(line)}
     at = 0
     for n in dict.fromkeys(nodes):
@@ -257,43 +297,146 @@ def common(nodes: list[Node]) -> Node:
     return line[at]
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page: white space in a block is one space, blocks are joined by one."""
-    found = blocks(page) if page else []
-    if not found:
-        return ""
-    fused, links = path_ratios(found)
-    chars = sum(len(b.text) for b in found)
-    mean = sum(fused[b.node.path] * len(b.text) for b in found) / chars
-    content = {p for p in fused if fused[p] >= THRESHOLD * mean and links[p] <= MOST_LINKS}
-    content = content or {max(fused, key=lambda p: (fused[p], p))}
-    article = common([_home(b.node) for b in found if b.node.path in content])
-    article = article.root or article
-    held = {article: True}
-
-    def inside(node: Node) -> bool:
-        way: list[Node] = []
+class Paths:
+    """Tag paths as numbers: parents come before children; labels holds each one's last step."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple[int, str], int] = {}
+        self.parents: list[int] = []
+        self.labels: list[str] = []
+        self.factors: list[float] = []
+
+    def of(self, node: Node) -> int:
+        way = []
         n: Node | None = node
-        while n is not None and n not in held:
+        while n is not None and n.path < 0:
             way.append(n)
             n = n.parent
-        held.update(dict.fromkeys(way, n is not None and held[n]))
-        return held[node]
+        at = -1 if n is None else n.path
+        for m in reversed(way):
+            step = m.label + "!" * bool(m.furniture)
+            key = (at, step)
+            if key not in self.number:
+                factor = self.factors[at] if at >= 0 else 1.0
+                if m.furniture:
+                    factor = min(factor, FACTOR[m.furniture])
+                elif m.name in ROOTS and factor == 1.0:
+                    factor = ROOTED
+                self.number[key] = len(self.parents)
+                self.parents.append(at)
+                self.labels.append(step)
+                self.factors.append(factor)
+            at = m.path = self.number[key]
+        return at
+
+    def text(self, path: int) -> str:
+        steps = []
+        while path >= 0:
+            steps.append(self.labels[path])
+            path = self.parents[path]
+        return "/".join(reversed(steps))
+
+
+def raw_ratios(page: list[Block], paths: Paths) -> tuple[list[float], list[float]]:
+    """Of every path (the ratio of the blocks on it, that of the blocks on and below it).
+
+    A ratio: mean text * (1 + mean punctuation) * text not linked * sqrt(share of the page).
+    """
+    size = len(paths.parents)
+    sums = [[0.0] * 5 for _ in range(size)]
+    for b in page:
+        s = sums[b.node.path]
+        for k, x in enumerate((1, min(len(b.text), FULL_TEXT), min(b.punct, FULL_PUNCT), b.linked, len(b.text))):
+            s[k] += x
+    total = sum(len(b.text) for b in page)
+
+    def ratio(n: float, text: float, punct: float, linked: float, chars: float) -> float:
+        return text / n * (1 + punct / n) * max(LINKED, 1 - linked / chars) * (chars / total) ** 0.5 if n else 0.0
+
+    own = [ratio(*s) for s in sums]
+    for p in range(size - 1, 0, -1):
+        up = paths.parents[p]
+        sums[up] = [a + b for a, b in zip(sums[up], sums[p], strict=True)]
+    return own, [ratio(*s) for s in sums]
+
+
+def path_ratios(page: list[Block]) -> dict[int, float]:
+    """The smoothed and fused ratio of each path that has blocks; block.node.path is the number of its path."""
+    lift_furniture(page)
+    paths = Paths()
+    own = [paths.of(b.node) for b in page]
+    raw, below = raw_ratios(page, paths)
+    heading = {p for p, b in zip(own, page, strict=True) if b.node.name in HEADINGS}
+    fused = {p: raw[p] * paths.factors[p] for p in own}
+    most = max((x for p, x in fused.items() if p not in heading), default=0.0)
+    strong = [b.node for p, b in zip(own, page, strict=True) if p not in heading and fused[p] >= STRONG * most]
+    article = common([_home(n) for n in strong]) if strong else None
+    if article is not None and article.name in ("", "html", "body"):
+        article = None
+    # in the article a path takes over a part of those above it, up to the article's own
+    outer = {p for p, b in zip(own, page, strict=True) if article is None or article not in _line(b.node)}
+    shares = _linked(page)
+    smooth = {}
+    for p in fused:
+        s, w, part, up = raw[p], 1.0, DECAY, p if article is not None and p == article.path else paths.parents[p]
+        while p not in outer:
+            s, w, part = s + part * below[up], w + part, part * DECAY
+            if up == article.path:
+                s *= max(LINKED, 1 - shares[p])
+                break
+            up = paths.parents[up]
+        smooth[p] = s / w * paths.factors[p]
+    # a heading is as much content as what it stands over; furniture between them is passed over
+    after: dict[int, list[float]] = {}
+    following: float | None = None
+    for p, b in zip(reversed(own), reversed(page), strict=True):
+        if p in heading:
+            after.setdefault(p, []).append(smooth[p] if following is None else following * min(1.0, paths.factors[p]))
+        elif paths.factors[p] >= 1:
+            following = smooth[p]
+    # outside the article a list is a part of what it follows
+    before: dict[int, list[float]] = {}
+    leading = 0.0
+    for p, b in zip(own, page, strict=True):
+        if b.node.name in ITEMS:
+            if p in outer:
+                before.setdefault(p, []).append(DECAY * leading * min(1.0, paths.factors[p]) * max(LINKED, 1 - shares[p]))
+        elif p not in heading and paths.factors[p] >= 1:
+            leading = smooth[p]
+    return smooth | {p: max(smooth[p], sum(x) / len(x)) for p, x in before.items()} | {p: sum(x) / len(x) for p, x in after.items()}
+
+
+def _linked(page: list[Block]) -> dict[int, float]:
+    """Share of linked text of each path."""
+    linked: dict[int, list[int]] = {}
+    for b in page:
+        x = linked.setdefault(b.node.path, [0, 0])
+        x[0] += b.linked
+        x[1] += len(b.text)
+    return {p: a / max(1, n) for p, (a, n) in linked.items()}
 
-    first = next(k for k, b in enumerate(found) if inside(b.node))
-    kept = [
-        b.text
-        for k, b in enumerate(found)
-        if inside(b.node) and (b.node.root is not None or links[b.node.path] <= MOST_LINKS)
-        or article.root is None and k < first and b.node.name == "h1"
-    ]
-    return " ".join(kept)
+
+def _home(node: Node) -> Node:
+    """The element around a block's own, within the body."""
+    return node.parent if node.parent is not None and node.parent.name not in ("", "html") else node
+
+
+def main_text(page: str | None) -> str:
+    """The text of a page's content paths: white space in a block is one space, blocks are joined by one."""
+    found = blocks(page) if page else []
+    if not found:
+        return ""
+    ratios = path_ratios(found)
+    least = THRESHOLD * max(ratios.values())
+    return " ".join(b.text for b in found if ratios[b.node.path] >= least)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row; null, empty or text-free html gives an empty text.
 
-    Repeated rows give repeated rows; other columns are ignored. One pass, no shuffle.
+    Null ids and urls pass through. Repeated rows give repeated rows, an empty table an empty one; other columns are
+    ignored, whatever their names. Long html is read whole, page by page; the state of a page grows with its
+    number of elements. Where several paths have the largest ratio, all are content. One pass, no shuffle.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
