@@ -120,25 +120,6 @@ def test_quality(spark, rows, docs):
     got = quality.quality(docs)
     same(rows, got, want, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert not got.where("kept and base_failed").count() and quality.quality(docs.limit(0)).count() == 0
-    import zstandard
-
-    press = zstandard.ZstdCompressor(level=3)
-    assert not quality.in_band(b"word " * 3000, press)[3]
-    assert not quality.in_band(bytes(RNG.randrange(33, 127) for _ in range(9000)), press)[3]
-
-
-def test_quality_judges_the_tail():
-    import zstandard
-
-    press = zstandard.ZstdCompressor(level=3)
-    own = random.Random(5)
-    known = ["".join(own.choices("etaoinshrdlucmfw", k=own.randrange(2, 9))) for _ in range(600)]
-    good = " ".join(own.choices(known, k=3000)).encode()
-    noise = base64.b64encode(own.randbytes(3000))
-    assert quality.in_band(good[:8192], press)[1:] == (2, 0, True)
-    assert quality.in_band(good[:8191], press)[1:] == (2, 0, True)
-    assert quality.in_band(good[:4096] + noise, press)[1:] == (2, 1, False)
-    assert quality.in_band(good[:4096], press)[1] == 0
 
 
 def test_suffixes(spark, rows, docs):
