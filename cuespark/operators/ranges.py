@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Up to so many ranges are put into the filter itself, where they reach the scan.
 MOST_LITERAL = 64
+#: Up to so many ranges, of two numbers each, are broadcast.
+MOST_BROADCAST = 100_000
 
 
 def merge_ranges(ranges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -41,8 +43,28 @@ def merged(ranges: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
     return out
 
 
+def _inside(time: str) -> Column:
+    return (F.col(time) >= F.col("range_start")) & (F.col(time) <= F.col("range_end"))
+
+
+def _hits(frames: DataFrame, ranges: DataFrame, time: str, how: str) -> DataFrame:
+    """frames joined to the ranges they are in, inner or left_anti.
+
+    Up to MOST_BROADCAST ranges are broadcast, never the frames. More are cut into bins of their mean length, two a
+    range on average, and join on the bin.
+    """
+    n, width, least = ranges.agg(F.count("*"), F.avg(F.col("range_end") - F.col("range_start")), F.min("range_start")).first()
+    if n <= MOST_BROADCAST:
+        return frames.join(F.broadcast(ranges), _inside(time), how)
+    width = width or 1.0
+    place = lambda c: F.floor((c - least) / width).cast("bigint")
+    cut = ranges.withColumn("_bin", F.explode(F.sequence(place(F.col("range_start")), place(F.col("range_end")))))
+    on = (F.col("_own") == F.col("_bin")) & _inside(time)
+    return frames.withColumn("_own", place(F.col(time))).join(cut, on, how).drop("_own", "_bin")
+
+
 def drop_in_ranges(frames: DataFrame, ranges: list[tuple[float, float]] | DataFrame, time: str = "timestamp") -> DataFrame:
-    """Frames outside all ranges; both ends belong to a range.
+    """Frames outside all ranges; both ends belong to a range. Frames without a time stay; ranges with a null end hold none.
 
     A short list becomes a filter that the scan gets; a longer list or a DataFrame is an anti join.
     """
@@ -51,16 +73,20 @@ def drop_in_ranges(frames: DataFrame, ranges: list[tuple[float, float]] | DataFr
             ranges = frames.sparkSession.createDataFrame(merged(ranges), "range_start double, range_end double")
         else:
             t = F.col(time)
-            return frames.where(~reduce(lambda a, b: a | b, (t.between(x, y) for x, y in ranges))) if ranges else frames
-    inside = (F.col(time) >= F.col("range_start")) & (F.col(time) <= F.col("range_end"))
-    return frames.join(ranges, inside, "left_anti")
+            hit = reduce(lambda a, b: a | b, (t.between(x, y) for x, y in ranges)) if ranges else None
+            return frames if hit is None else frames.where(~F.coalesce(hit, F.lit(False)))
+    own = ranges.select("range_start", "range_end").where("range_start <= range_end")
+    return _hits(frames, own, time, "left_anti")
 
 
 def range_counts(frames: DataFrame, ranges: DataFrame, time: str = "timestamp") -> DataFrame:
-    """(range_start, range_end, n): frames in each range, 0 included; a frame counts in every range it is in."""
-    inside = (F.col(time) >= F.col("range_start")) & (F.col(time) <= F.col("range_end"))
-    return (
-        ranges.join(frames.select(time), inside, "left")
-        .groupBy("range_start", "range_end")
-        .agg(F.count(time).alias("n"))
-    )
+    """(range_start, range_end, n): frames in each range, 0 included; a frame counts in every range it is in.
+
+    Repeated ranges are one. Frames are counted before they meet the list of ranges, so they are neither broadcast nor sorted.
+    """
+    own = ranges.select("range_start", "range_end").distinct()
+    counts = _hits(frames.select(time), own.where("range_start <= range_end"), time, "inner").groupBy(
+        F.col("range_start").alias("_start"), F.col("range_end").alias("_end")
+    ).agg(F.count("*").alias("n"))
+    same = F.col("range_start").eqNullSafe(F.col("_start")) & F.col("range_end").eqNullSafe(F.col("_end"))
+    return own.join(counts, same, "left").select("range_start", "range_end", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
