@@ -20,17 +20,30 @@ from cuespark.sources.models import ANALYZE_PROMPT, FILTER_PROMPT, RECONCILE_PRO
 
 
 def call_rows(
-    rows: DataFrame, column: str, call: Callable[[Any], Any], kind: str, workers: int, policy: RetryPolicy, pool: int = 1, sleep: Callable = time.sleep
+    rows: DataFrame,
+    column: str,
+    call: Callable[[Any], Any],
+    kind: str,
+    workers: int,
+    policy: RetryPolicy,
+    pool: int = 1,
+    sleep: Callable = time.sleep,
+    when: str | None = None,
+    otherwise: Any = None,
 ) -> DataFrame:
     """rows with result, error and attempts: call(value of column) for each row, with retry.
 
+    when: a boolean column; where it isn't true there is no call and the result is otherwise, after 0 attempts.
+
     At most workers calls run at a time: workers / pool tasks of pool threads. Results are JSON between
     Python and Spark. Calls are not repeatable, so write the result before reading it twice.
     """
     names = rows.columns
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(value: Any) -> tuple[str | None, str | None, int]:
+        def one(value: Any, wanted: bool) -> tuple[str | None, str | None, int]:
+            if not wanted:
+                return json.dumps({"v": otherwise}), None, 0
             try:
                 result, tries = with_retry(lambda: call(value), policy, sleep=sleep)
                 return json.dumps(result), None, tries
@@ -41,7 +54,8 @@ def call_rows(
 
         with ThreadPoolExecutor(pool) as threads:
             for batch in batches:
-                done = list(threads.map(one, batch[column]))
+                wanted = [x is True or x == 1 for x in batch[when]] if when else [True] * len(batch)
+                done = list(threads.map(one, batch[column], wanted))
                 yield batch.assign(_json=[x[0] for x in done], error=[x[1] for x in done], attempts=[x[2] for x in done])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -57,14 +71,13 @@ def prefilter(groups: DataFrame, client: VisionClient, workers: int = 4, policy:
 
 
 def analyze(groups: DataFrame, client: VisionClient, workers: int = 1, policy: RetryPolicy = RetryPolicy(), prompt: str = ANALYZE_PROMPT, **options: Any) -> DataFrame:
-    """groups (with has_text) with elements, error, attempts; rows without text get no elements and no call."""
-    yes = groups.where("has_text").drop("error", "attempts")
-    no = groups.where("not has_text").drop("error", "attempts")
-    read = call_rows(yes, "frame", lambda frame: {"v": parse_elements(client.analyze(frame, system=prompt))}, ELEMENTS, workers, policy, **options)
-    empty = F.from_json(F.lit("[]"), ELEMENTS)
-    return read.withColumnRenamed("result", "elements").unionByName(
-        no.withColumns({"elements": empty, "error": F.lit(None).cast("string"), "attempts": F.lit(0)})
-    )
+    """groups (with has_text) with elements, error, attempts; rows without text get no elements and no call.
+
+    One pass: groups is read once, so calls that it stands for are made once.
+    """
+    rows = groups.drop("error", "attempts")
+    read = lambda frame: {"v": parse_elements(client.analyze(frame, system=prompt))}
+    return call_rows(rows, "frame", read, ELEMENTS, workers, policy, when="has_text", otherwise=[], **options).withColumnRenamed("result", "elements")
 
 
 def reconcile(clustered: DataFrame, client: TextClient, workers: int = 8, policy: RetryPolicy = RetryPolicy(), system: str = RECONCILE_PROMPT, **options: Any) -> DataFrame:
