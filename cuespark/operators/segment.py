@@ -41,6 +41,14 @@ def edge_difference(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.abs(a.astype(np.int16) - b).mean())
 
 
+def pack_edges(edges: np.ndarray) -> bytes:
+    return np.array(edges.shape, "<u4").tobytes() + edges.tobytes()
+
+
+def unpack_edges(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8, offset=8).reshape(np.frombuffer(raw, "<u4", 2))
+
+
 def mean_difference(a: Any, b: Any) -> float:
     """Of numbers or vectors."""
     return float(np.abs(np.asarray(a, float) - np.asarray(b, float)).mean())

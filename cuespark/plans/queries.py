@@ -17,6 +17,7 @@ from cuespark.functions import ass, text, times
 from cuespark.operators import cluster, ranges, reconcile, runs, segment
 from cuespark.plans import captions, checkpoint, infer
 from cuespark.schema import ELEMENTS, color
+from cuespark.sources.files import shared_folder
 from cuespark.sources.models import ScriptedClient
 from cuespark.sources.workers import worker_limits
 
@@ -324,8 +325,7 @@ def stage_failures(spark, sf_dir):
 
 
 def pipeline_end_to_end(spark, sf_dir):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    store = checkpoint.Store(spark, f"{folder.rstrip('/')}/captions-{uuid.uuid4().hex}")
+    store = checkpoint.Store(spark, f"{shared_folder(spark)}/captions-{uuid.uuid4().hex}")
     config = EngineConfig(edge_diff_threshold=100.0, similarity_threshold=0.2, gap_tolerance=GAP, skip=("24:00:00-48:00:00",), retry=ONCE)
     return captions.captions(frames(spark, sf_dir), _videos(spark, sf_dir), config, READER, PICKER, store)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,20 +17,74 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def file_identity(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, time of last change) of a file; zeros if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(p):
+        return 0, 0
+    status = system.getFileStatus(p)
+    return status.getLen(), status.getModificationTime()
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small text as one file, in the file system that the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; only a local session may be without one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"{tempfile.gettempdir()}/checkpoints"
+    return where.rstrip("/")
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that holds one JSON array or object."""
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
 def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
-    """One indented array, in order. For manifests of one run, which a single task can hold."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("_row"))))
-    (
-        df.agg(F.to_json(F.transform(rows, lambda x: x["_row"]), {"pretty": "true"}).alias("value"))
-        .coalesce(1)
-        .write.mode("overwrite")
-        .text(path)
-    )
+    """One JSON array, a row a line, in order. The sort runs on all executors; one task streams the rows to the one file.
+
+    Null fields are left out, as to_json does; an empty table is an empty array.
+    """
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["["]})
+        held: list[str] = []
+        for batch in batches:
+            held += batch["value"].tolist()
+            yield pd.DataFrame({"value": [f"  {row}," for row in held[:-1]]}, dtype=object)
+            held = held[-1:]
+        yield pd.DataFrame({"value": [*(f"  {row}" for row in held), "]"]})
+
+    rows = df.orderBy(*order).select(F.to_json(F.struct(*df.columns)).alias("value"))
+    if df.isEmpty():  # a plan without rows has no task that could write the brackets
+        rows = df.sparkSession.range(1).select(F.lit("[]").alias("value"))
+        rows.write.mode("overwrite").text(path)
+        return
+    rows.coalesce(1).mapInPandas(lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_json_object(df: DataFrame, path: str) -> None:
+    """The one row of df as a JSON object."""
+    if len(df.take(2)) != 1:
+        raise ValueError("an object needs exactly one row")
+    df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +109,7 @@ def write_cluster_lines(clustered: DataFrame, path: str) -> None:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """(video_id, content) as a text file for each video, in a folder of its own."""
-    documents.select("video_id", F.regexp_replace("content", r"\n$", "").alias("value")).repartition("video_id").write.mode(
+    """(video_id, content) as a text file for each video, in a folder of its own; every file ends with one line break."""
+    documents.select("video_id", F.regexp_replace("content", r"\n\z", "").alias("value")).repartition("video_id").write.mode(
         "overwrite"
     ).partitionBy("video_id").text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -21,8 +22,27 @@ ANALYZE_PROMPT = (
 RECONCILE_PROMPT = "The lines are readings of one subtitle, some with mistakes. Answer with the one correct text and nothing else."
 
 
+def read_image(image: str | bytes) -> bytes:
+    """The bytes of a picture: of a path, of a file: URI as listings give it, or of a URI of another file system."""
+    if isinstance(image, bytes | bytearray | memoryview):
+        return bytes(image)
+    scheme = urllib.parse.urlsplit(image).scheme
+    if len(scheme) < 2:
+        path = image
+    elif scheme == "file":
+        path = urllib.request.url2pathname(urllib.parse.urlsplit(image).path)
+    else:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(image)
+        with system.open_input_stream(path) as stream:
+            return stream.read()
+    with open(path, "rb") as file:
+        return file.read()
+
+
 class VisionClient(Protocol):
-    def analyze(self, image: str, prompt: str = "", system: str = "", json_mode: bool = False) -> str: ...
+    def analyze(self, image: str | bytes, prompt: str = "", system: str = "", json_mode: bool = False) -> str: ...
 
 
 class TextClient(Protocol):
@@ -61,9 +81,8 @@ class HttpClient:
         parts = [{"type": "text", "text": prompt}] * bool(prompt) + [{"type": "image_url", "image_url": {"url": url}}]
         return [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": parts}]
 
-    def analyze(self, image: str, prompt: str = "", system: str = "", json_mode: bool = False) -> str:
-        with open(image, "rb") as file:
-            return self._ask(self.messages(file.read(), prompt, system), json_mode)
+    def analyze(self, image: str | bytes, prompt: str = "", system: str = "", json_mode: bool = False) -> str:
+        return self._ask(self.messages(read_image(image), prompt, system), json_mode)
 
     def chat(self, prompt: str, system: str) -> str:
         return self._ask([{"role": "system", "content": system}, {"role": "user", "content": prompt}])

@@ -110,11 +110,7 @@ def extract_frames(videos: DataFrame, folder: str, decode: Callable[[str, str],
 def list_frames(spark: SparkSession, folder: str) -> DataFrame:
     """(video_id, path, number) of folder/<video_id>/<number>.jpg; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").option("recursiveFileLookup", "true").load(folder)
-    return files.select(
-        F.regexp_extract("path", r"/(\d+)/\d+\.jpg$", 1).try_cast("bigint").alias("video_id"),
-        "path",
-        F.regexp_extract("path", r"(\d+)\.jpg$", 1).try_cast("bigint").alias("number"),
-    )
+    return numbered_paths(files.select("path")).select("video_id", "path", "number")
 
 
 def frame_times(frames: DataFrame, videos: DataFrame) -> DataFrame:
@@ -128,6 +124,39 @@ def frame_times(frames: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
+def edge_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """(video_id, path, number, edges) of folder/<video_id>/<number>.jpg: the pictures decoded by Spark's image source, and their
+    edge maps made beside it, so that the pixels stay in the task that read them. edges: height and width as 4 bytes each, then the map.
+
+    Null where a picture can't be decoded or is too low.
+    """
+    from cuespark.operators.segment import decode_image, edge_map, pack_edges
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for row in batch[["height", "width", "nChannels", "data"]].to_dict("records"):
+                try:
+                    made.append(pack_edges(edge_map(decode_image(row))))
+                except ValueError:
+                    made.append(None)
+            yield pd.DataFrame({"path": batch["path"], "edges": made})
+
+    images = spark.read.format("image").option("pathGlobFilter", "*.jpg").option("recursiveFileLookup", "true").load(folder)
+    flat = images.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+    return numbered_paths(flat.mapInPandas(work, "path string, edges binary"))
+
+
+def numbered_paths(files: DataFrame) -> DataFrame:
+    """files (path, ...) with video_id and number of .../<video_id>/<number>.jpg."""
+    return files.withColumns(
+        {
+            "video_id": F.regexp_extract("path", r"/(\d+)/\d+\.jpg$", 1).try_cast("bigint"),
+            "number": F.regexp_extract("path", r"(\d+)\.jpg$", 1).try_cast("bigint"),
+        }
+    )
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, image struct) of Spark's image source."""
     return spark.read.format("image").option("dropInvalid", "true").load(path).select("image.origin", "image")
