@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import atexit
+import contextlib
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,7 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_folders: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,33 +22,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: ``spark.checkpoint.dir``; one is set only where there is none."""
+    """The folder every executor shares: ``spark.checkpoint.dir``. Only a local session may be without; it gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext._jsc.sc()
     if where and context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(where)
-    if not where:
-        if context.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(DEFAULT_SHARED_DIR)
-        where = context.getCheckpointDir().get()
-    return where.rstrip("/")
+    if not where and context.getCheckpointDir().isEmpty():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
+    return (where or context.getCheckpointDir().get()).rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: a cut in the lineage that outlives executors."""
+    """Write df as a table in the shared folder and read it back: a cut in the lineage that outlives executors.
+
+    The shuffle files of the write go when it ends. Tables lie in a folder of the application, which goes when the driver's Python ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver's cleaner drop shuffle files that no live plan refers to, and give it a moment to do so."""
-    for _ in range(2):  # Python's references to plans go first, then the plans
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session can be gone
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _remove(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -79,44 +102,44 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b) as (node, label): label is the smallest node reachable.
 
-    Alternates large-star and small-star contraction; each round is checkpointed to the
-    shared folder. Self loops and repeated edges are allowed; null ends are dropped.
-    Min-aggregates are combined map-side, so a node with very many links is not gathered
-    anywhere; the joins back are plain sort-merge joins that AQE can split.
+    Alternates large-star and small-star contraction; each step is a table in the shared
+    folder. Self loops and repeated edges are allowed; null ends are dropped.
+    Minima are combined map-side and stored, so that each join back is one of two tables with nothing between
+    shuffle and join: AQE splits the rows of a node with very many links over many tasks.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
-    now = (
+    now = stored(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .checkpoint()
+        .distinct(),
+        "edges",
     )
+    before = _digest(now)
     for _ in range(most_rounds):
-        before = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if not before[0]:
             break
         # Large star: every neighbour above a node is linked to the node's smallest neighbour (or itself).
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = (
-            both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        ).distinct()
-        # Small star: every neighbour below a node, and the node, are linked to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m", "a")
-        now = (
-            small.select(F.col("x").alias("a"), F.col("m").alias("b"))
-            .unionByName(low.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-            .checkpoint()
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = stored(
+            both.where("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large"
         )
-        after = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if tuple(before) == tuple(after):
+        # Small star: every neighbour below a node, and the node, are linked to the smallest of them.
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.hint("merge").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        dropped(now, least, large, low)
+        now, last = after, before
+        before = _digest(now)
+        if before == last:
             break
     else:
         raise RuntimeError("components did not converge")
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     )
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """The number of edges and two 64-bit hash sums, which tell whether a round has changed them."""
+    one, two = (F.sum(F.xxhash64(*x).cast("decimal(38,0)")) for x in (("a", "b"), (F.lit(1), "b", "a")))
+    return tuple(edges.agg(F.count("*"), one, two).first())

@@ -4,8 +4,7 @@ A document's set of word shingles gives a signature of CHUNKS * WIDTH b-bit mini
 signature is split into CHUNKS chunks; by the pigeonhole principle two signatures that differ
 in at most 2 * CHUNKS - 1 places differ in at most one place of some chunk. Each chunk is
 therefore looked up once for each place that may be wrong, by its other places. All pairs within that distance
-meet under one key at least; so do nearly all beyond (at the similarity of 0.8 a pair misses
-every key with a probability of 2e-6).
+meet under one key at least, and that distance is the limit for candidates.
 
 Documents that meet under a key and whose whole signatures are near are joined to candidate
 groups, and links in a group are confirmed on full shingle sets. Neither step lists pairs: it walks
@@ -25,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm._util import arrow_map, components, partitions, pieces, release, stored
+from cuespark.llm._util import arrow_map, components, dropped, partitions, stored
 
-CHUNKS, WIDTH = 10, 5
+CHUNKS, WIDTH = 16, 5
 PLACES = CHUNKS * WIDTH
-#: Signatures of a candidate pair differ in at most so many places; at 0.8 more are differing with a probability of 1e-7.
-FAR = 27
+#: Signatures of a candidate pair differ in at most so many places, which the keys find for certain; a pair at 0.8 differs in more with a probability of 1.2e-5.
+FAR = 2 * CHUNKS - 1
 #: A block holds about so many members under a key, or shingles in a group.
 KEY_BLOCK = 4096
 GROUP_BLOCK = 1_500_000
@@ -259,8 +258,7 @@ def near_duplicates(
     Null text and text without words have an empty set and no links. Rows that repeat an id
     share its component. Rows with a null id take no part: null component_id, kept. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     sketch = stored(sketches(docs, id_col, text_col, words), "near-sketch")
     members = stored(
         sketch.where("digest is not null and cs_id is not null")
@@ -277,7 +275,6 @@ def near_duplicates(
         "near-keys",
     )
     met = stored(keyed.join(live, "key"), "near-met")
-    release(spark)
     near = (
         _pairs_of_blocks(met.join(members.select("rep", "sign"), "rep"), "key")
         .select("g", "bi", "bj", "rep", "sign")
@@ -285,7 +282,9 @@ def near_duplicates(
         .sortWithinPartitions("g", "bi", "bj")
         .mapInArrow(grouped(walk_signatures), "a bigint, b bigint")
     )
-    groups = stored(components(stored(near.distinct(), "near-links")), "near-groups")
+    links = stored(near.distinct(), "near-links")
+    groups = stored(components(links), "near-groups")
+    dropped(live, met, links)
     blocks = (
         groups.join(members.select(F.col("rep").alias("node"), "n_shingles"), "node")
         .groupBy("label")
@@ -301,14 +300,15 @@ def near_duplicates(
         .sortWithinPartitions("g", "bi", "bj")
         .mapInArrow(grouped(set_walker(words, percent)), "a bigint, b bigint")
     )
-    linked = components(stored(confirmed, "near-confirmed"))
-    release(spark)
+    sure = stored(confirmed, "near-confirmed")
+    linked = components(sure)
     classes = stored(
         members.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
         .where("copies > 1 or label is not null")
         .select("digest", F.coalesce("label", "rep").alias("class")),
         "near-classes",
     )
+    dropped(members, groups, sure)
     own = F.col("cs_id")
     component = F.when(own.isNotNull(), F.coalesce("class", own))
     return (

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespark.llm._util import arrow_map, partitions, pieces, release, stored
+from cuespark.llm._util import arrow_map, partitions, pieces, stored
 
 WINDOW = 50
 GRAM = 12
@@ -447,7 +447,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "suffix-spans",
         )
         spans = found if spans is None else spans.unionByName(found)
-        release(spark)
     names = ["place", "cs_id", "cs_key", "cs_text", *(f"cs_c{k}" for k in range(len(carry)))]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
