@@ -276,22 +276,6 @@ def test_bpe(spark, rows, docs):
     assert bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
-def test_top_k(spark):
-    data = [(k, [RNG.choice([-0.5, 0.0, 0.25, 0.3]) for _ in range(4)], 1) for k in range(240)]
-    data += [(250, None, 1), (251, [None, 1.0], 1), (252, [float("nan")], 1), (300, [1.0, 1.0, 1.0, 1.0], 1), (300, [1.0, 1.0, 1.0, 1.0], 1), (350, [], 1)]
-    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>, rank int")
-    own = {i: np.floor(256 * np.array(np.array(v, np.float32), float)).astype(int).tolist() for i, v, _ in data if v is not None and None not in v and not any(x != x for x in v)}
-    want = []
-    for q in (x for x in own if x % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(own[q], own[i], strict=False)), i) for i in own if i != q)[:5]
-        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    for size in (4096, 30):
-        assert collected(knn.top_k(df, shard_rows=size), "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
-    assert knn.top_k(df.limit(0)).count() == 0
-    one = df.where("vec_id in (0, 1, 2)")
-    assert knn.top_k(one).count() == 2
-
-
 def test_packing(spark, rows, docs):
     for _ in range(100):
         n = RNG.randrange(1, 9)
