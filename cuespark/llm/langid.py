@@ -118,25 +118,44 @@ def train(samples: dict[str, list[str]]) -> Model:
     return Model(languages, table, fill**HASHES, np.array(sizes))
 
 
-def predict(model: Model, text: str | None) -> tuple[str, float]:
-    """(language, score 0 to 1): the corrected share of n-grams that the language knows, against all languages' shares."""
+def shares(model: Model, text: str | None) -> np.ndarray | None:
+    """The share of the text's n-grams that each language knows, corrected for its filter's false positives; None if there is nothing to go by."""
     if not text or not model.languages or not any(x.isalpha() for x in text):
-        return UNDETERMINED, 0.0
+        return None
     h = gram_hashes(text)
     if not len(h):
-        return UNDETERMINED, 0.0
+        return None
     bits = contains(model, h)
     if model.table.dtype == np.uint8:
         n = np.bincount(bits, minlength=256)
         hits = n @ ((np.arange(256)[:, None] >> np.arange(len(model.languages))) & 1)
     else:
         hits = np.array([known(bits, k) for k in range(len(model.languages))])
-    share = np.clip((hits / len(h) - model.rates) / (1 - model.rates), 0, 1)
+    return np.clip((hits / len(h) - model.rates) / (1 - model.rates), 0, 1)
+
+
+def predict(model: Model, text: str | None) -> tuple[str, float]:
+    """(language, score 0 to 1): the corrected share of n-grams that the language knows, against all languages' shares."""
+    share = shares(model, text)
+    if share is None:
+        return UNDETERMINED, 0.0
     k = int(np.argmax(share))
     total = share.sum()
     return model.languages[k], float(share[k] / total) if total > 0 else 0.0
 
 
+def stands_out(model: Model, text: str | None) -> bool:
+    """Whether the best language knows LEAST_KNOWN of the n-grams, and more than the next one by MARGIN of those it doesn't know.
+
+    Both are shares of the text's own n-grams, so neither changes with the number of languages.
+    """
+    share = shares(model, text)
+    if share is None:
+        return False
+    best, *rest = sorted(share, reverse=True)
+    return bool(best >= LEAST_KNOWN and best - (rest[0] if rest else 0) >= MARGIN * (1 - best))
+
+
 def held_out(id_col: Column) -> Column:
     """crc32 of the id as text, mod 3, is 1."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -145,7 +164,7 @@ def held_out(id_col: Column) -> Column:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """A bounded sample of labelled rows for training, by hash of the id, alike for every language.
 
-    About TRAIN_ROWS rows of each language reach the driver, whose texts are kept up to TRAIN_CHARS.
+    About TRAIN_ROWS rows of each language reach the driver, whose texts are kept up to TRAIN_CHARS. Rows with equal ids are taken or left together.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.length(text_col).alias("n")).where(
         F.col("l").isNotNull() & (F.col("n") > 0) & ~held_out(F.col("i"))
@@ -169,7 +188,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[s
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from rows that have a language and are not held out."""
+    """Learn from rows that have a language and are not held out.
+
+    Rows with a null id count as not held out; rows with null or empty text or a null language are left out. A table without such
+    rows gives a model without languages, for which every text is `und`. Of repeated rows all count.
+    """
     return train(sample(docs, id_col, text_col, lang_col))
 
 
@@ -200,18 +223,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return arrow_map(rows, work, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-#: Texts whose best language has less than this share of the score are rejected by accepted().
-LEAST_SCORE = 0.3
+#: What accepted() asks of the best language; see stands_out(). Random words have 0.16 at most, texts of a language not learned about 0.2.
+LEAST_KNOWN, MARGIN = 0.4, 0.05
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a language with a score of least or more."""
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language that stands out.
+
+    Null texts and texts without a letter go. Null ids don't matter, repeated rows share their fate, an empty table stays empty;
+    without any labelled row no language is known and all rows go. Long texts are read whole.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in pieces(batches, text_col, 8 << 20):
-            got = [predict(own, x) for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            yield batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= least for x in got], pa.bool_()))
+            yield batch.filter(pa.array([stands_out(own, x) for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -221,6 +221,37 @@ def test_language(spark, rows, docs):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert {r.doc_id for r in langid.accepted(docs, model).collect()}.isdisjoint({0, 1, 2, 42})
     assert langid.identify(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
+    none = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert none.languages == [] and langid.identify(docs, none).where("lang_pred <> 'und'").count() == 0 and langid.accepted(docs, none).count() == 0
+    lost = docs.withColumn("doc_id", F.when(F.col("doc_id") != 7, F.col("doc_id")))
+    assert langid.identify(lost, model).where("doc_id is null and not held_out and lang_pred = 'bb'").count() == 1
+
+
+def plain_shares(samples, text):
+    """The shares with sets in place of filters."""
+    grams = lambda x: langid.gram_hashes(x).tolist()
+    counts = {lang: Counter(g for t in texts for g in grams(t)) for lang, texts in samples.items()}
+    part = lambda lang, g: counts[lang][g] / max(1, counts[lang].total())
+    sets = {lang: {g for g, n in c.items() if n >= 2 and part(lang, g) >= 0.5 * max(part(x, g) for x in counts)} for lang, c in counts.items()}
+    own = grams(text)
+    return [sum(g in sets[lang] for g in own) / len(own) for lang in sorted(samples)]
+
+
+def test_language_against_sets():
+    """Bit-sliced filters, corrected for false positives, give the shares of exact sets; the decision needs a language that stands out."""
+    samples = {lang: [prose(60, lang) for _ in range(40)] for lang in WORDS}
+    model = langid.train(samples)
+    own = random.Random(3)
+    noise = [" ".join("".join(own.choices("abcdefghijklmnopqrstuvwxyz", k=own.randrange(2, 9))) for _ in range(60)) for _ in range(40)]
+    for text in [prose(30, "aa"), prose(30), prose(10, "aa") + " " + prose(10), *noise[:10]]:
+        want = plain_shares(samples, text)
+        assert np.abs(langid.shares(model, text) - want).max() < 0.01
+        if max(want) - min(want) > 0.05:
+            assert langid.predict(model, text)[0] == sorted(samples)[int(np.argmax(want))]
+    assert not any(langid.stands_out(model, x) for x in [*noise, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "12 34", "", None])
+    assert all(langid.stands_out(model, prose(20, lang)) for lang in WORDS for _ in range(20))
+    many = langid.train({**samples, **{f"x{k}": [" ".join(noise[k::40] * 2)] for k in range(20)}})
+    assert all(langid.stands_out(many, prose(20, lang)) for lang in WORDS for _ in range(20))
 
 
 def test_more_languages_than_a_word_has_bits(spark):
