@@ -168,34 +168,75 @@ def scan(
     return result, new
 
 
-def _masking(rules) -> list:
-    """Key blocks first, so that no other rule masks a part of one and leaves the rest unknown."""
-    return sorted(rules, key=lambda rule: rule[0] != "pem")
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept at a path; empty if there is none yet. Runs that ended at the same time can both have added a blob: it counts once."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return empty_ledger(spark)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path).dropDuplicates(["blob", "rule_version"])
 
 
-def redacted(text: Column, rules=RULES, mask: str = "[SECRET]") -> Column:
-    """text with every kept match replaced by mask; rules run one after another, null stays null."""
-    for _, pattern, group, least in _masking(rules):
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        counted = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        put = F.zip_with(whole, counted, lambda m, c: F.when(F.char_length(c) >= least, F.lit(mask)).otherwise(m))  # noqa: B023
-        pair = F.zip_with(F.split(text, pattern, -1), put, lambda gap, p: F.concat(gap, F.coalesce(p, F.lit(""))))
-        text = F.when(text.rlike(pattern), F.array_join(pair, "")).otherwise(text)
-    return text
+def scan_kept(
+    versions: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", rules=RULES
+) -> tuple[DataFrame, int]:
+    """(scan() against the ledger at path, number of blob and rule-version pairs that were scanned).
+
+    New pairs are appended to the ledger in one commit, so the next run scans none of them; a run that fails before leaves it as it was.
+    """
+    result, new = scan(versions, opened(versions.sparkSession, path), key_col, text_col, rules)
+    scanned = new.count()
+    if scanned:
+        new.write.mode("append").parquet(path)
+    return result, scanned
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None, key_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
+    """text with the union of spans (as scan() lists them) replaced by mask; spans that overlap or touch are one. Null stays null.
+
+    ASCII text is cut as bytes, so the time is linear; in other text each span costs a walk from the text's start.
+    """
+    number = lambda x, k: F.element_at(F.split(x, ":"), k).cast("int")
+    each = F.array_sort(F.transform(F.split(spans, ","), lambda x: F.struct(number(x, 2).alias("a"), number(x, 3).alias("z"))))
+    kind = "array<struct<a:int,z:int>>"
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["a"].alias("a"), F.greatest(last["z"], x["z"]).alias("z"))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & (x["a"] <= F.try_element_at(done, F.lit(-1))["z"]), joined).otherwise(F.concat(done, F.array(x))).cast(kind)
+
+    whole = F.aggregate(F.slice(each, 2, F.size(each)), F.slice(each, 1, 1).cast(kind), add)
+    begin = F.concat(F.array(F.lit(0)), F.transform(whole, lambda x: x["z"]))
+    end = F.concat(F.transform(whole, lambda x: x["a"]), F.array(F.char_length(text)))
+    gaps = F.arrays_zip(begin.alias("a"), end.alias("z"))
+    ascii_only = F.char_length(text) == F.octet_length(text)
+    raw = text.cast("binary")
+    fast = F.transform(gaps, lambda g: F.substring(raw, g["a"] + 1, g["z"] - g["a"]).cast("string"))
+    slow = F.transform(gaps, lambda g: F.substring(text, g["a"] + 1, g["z"] - g["a"]))
+    return F.array_join(F.when(ascii_only, fast).otherwise(slow), mask)
+
+
+def redact(
+    docs: DataFrame,
+    ledger: DataFrame | str | None = None,
+    key_col: str = "doc_id",
+    text_col: str = "text",
+    rules=RULES,
+    mask: str = "[SECRET]",
+) -> DataFrame:
     """docs with the secrets that a scan finds masked in the text; all other columns stay.
 
-    Rows without a finding keep their text. Findings are looked up by content, so rows without a key are masked too.
+    ledger: a table, or the path of one that is kept. All rules are judged on the text as given, and the union of their spans is
+    masked. Rows without a finding keep their text; null stays null. Findings are looked up by content, so rows without a key are
+    masked too. An empty table stays empty; repeated rows are masked alike.
     """
-    ledger = empty_ledger(docs.sparkSession) if ledger is None else ledger
-    _, new = scan(docs, ledger, key_col, text_col, rules)
-    known = ledger.where(F.col("rule_version") == rule_version(rules)).select("blob", "spans").unionByName(new.select("blob", "spans"))
-    hit = stored(known.where("spans <> ''").select(F.col("blob").alias("cs_key")).distinct(), "secret-hits")
+    spark = docs.sparkSession
+    known = opened(spark, ledger) if isinstance(ledger, str) else empty_ledger(spark) if ledger is None else ledger
+    _, new = scan(docs, known, key_col, text_col, rules)
+    both = known.where(F.col("rule_version") == rule_version(rules)).select("blob", "spans").unionByName(new.select("blob", "spans"))
+    hit = stored(both.where("spans <> ''").select(F.col("blob").alias("cs_key"), F.col("spans").alias("cs_spans")).dropDuplicates(["cs_key"]), "secret-hits")
+    if isinstance(ledger, str):
+        new.write.mode("append").parquet(ledger)
     joined = docs.join(hit, address(F.col(text_col)) == F.col("cs_key"), "left")
-    # one column for each rule, so that no expression holds another's twice
-    out = joined.withColumn("cs_hit", F.col("cs_key").isNotNull())
-    for rule in _masking(rules):
-        out = out.withColumn(text_col, F.when(F.col("cs_hit"), redacted(F.col(text_col), (rule,))).otherwise(F.col(text_col)))
-    return out.select(*docs.columns)
+    text = F.when(F.col("cs_spans").isNotNull(), masked(F.col(text_col), F.col("cs_spans"), mask)).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, text).select(*docs.columns)
