@@ -215,6 +215,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. A pretoken that is a token itself has that one id."""
+        for own in self._pretokens(texts):
+            sizes = self.counts[own]
+            ends = np.cumsum(sizes)
+            n = int(ends[-1]) if len(ends) else 0
+            yield self.ids[np.repeat(self.starts[own] - (ends - sizes), sizes) + np.arange(n)]
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        return [int(self.counts[own].sum()) for own in self._pretokens(texts)]
+
+    def _pretokens(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's pretokens, all of them known then."""
         if self.held > CACHE_BYTES:
             self._forget()
         known, number, fresh = self.known, [], []
@@ -238,11 +250,21 @@ class Encoder:
             self.ids = np.concatenate((self.ids, ids))
             self.counts = np.concatenate((self.counts, counts))
             self.starts = np.concatenate(([0], np.cumsum(self.counts)[:-1]))
-        for own in number:
-            sizes = self.counts[own]
-            ends = np.cumsum(sizes)
-            n = int(ends[-1]) if len(ends) else 0
-            yield self.ids[np.repeat(self.starts[own] - (ends - sizes), sizes) + np.arange(n)]
+        return number
+
+
+def lengths(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens) of every row, as encode() counts them; null text has none. Other columns are ignored."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(Merges(shared.value), pattern)
+        for batch in pieces(batches, "cs_text", BLOCK_CHARS):
+            n = encoder.lengths([x or "" for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], [id_col, "n_tokens"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return arrow_map(docs.select(F.col(id_col), F.col(text_col).alias("cs_text")), work, f"`{id_col}` {kind}, n_tokens bigint")
 
 
 def encode(

@@ -1,27 +1,26 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is bounded: lengths up to EXACT have a bin each, longer ones
-share bins of a fixed relative width, rounded up. Dynamic programming over the bins chooses
-the bucket boundaries that minimise padding. In a bucket every document is padded to the
+The global histogram has a bin for each length up to the token budget, so it is bounded. Dynamic programming over the
+bins chooses the bucket boundaries that minimise padding, exactly, in whole numbers. In a bucket every document is padded to the
 boundary, and as many as fit the token budget make a batch. Buckets are dealt out to shards
 whose number follows from the histogram, so that a bucket with most of the rows is not
-gathered anywhere; each shard leaves at most one batch that isn't full.
+gathered anywhere; each shard leaves at most one batch that isn't full. A document over the budget is marked, and a batch of
+its own without padding.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cuespark.llm._util import stored
+
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-EXACT = 2048
-#: Lengths over EXACT are rounded up to this many steps a doubling.
-STEPS = 1024
 SHARD_ROWS = 20_000
 
 
@@ -32,44 +31,38 @@ def word_count(text: Column) -> Column:
     return F.when(flat == "", 0).otherwise(F.size(F.split(flat, " +", -1))).cast("long")
 
 
-def binned(n: Column) -> Column:
-    """The bin of a length: the smallest length of at most STEPS a doubling that holds it."""
-    step = F.expr(f"shiftleft(1L, greatest(0, cast(floor(log2(greatest(cs_n, 1))) as int) - {STEPS.bit_length() - 1}))")
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
     """Ends of at most `buckets` buckets with the least sum of (end - length) * count. lengths ascend.
 
-    The cost satisfies the quadrangle inequality, so the best cut moves with the end and each
-    layer is solved by divide and conquer.
+    A bucket of bins i to j - 1 costs end[j-1] * (c[j] - c[i]) - (w[j] - w[i]), with c and w running sums of counts and of tokens. For
+    a given j that is a line in end[j-1] for each i, so each layer walks the lower hull of lines whose slopes fall as i grows.
     """
     n = len(lengths)
     if not n:
         return []
-    ends = np.array(lengths, float)
-    c = np.concatenate(([0.0], np.cumsum(np.array(counts, float))))
-    w = np.concatenate(([0.0], np.cumsum(ends * np.array(counts, float))))
-
-    def cost(i: np.ndarray, j: int) -> np.ndarray:
-        """Padding of one bucket of bins i to j - 1."""
-        return ends[j - 1] * (c[j] - c[i]) - (w[j] - w[i])
-
-    best = np.concatenate(([0.0], [float(cost(np.array(0), j)) for j in range(1, n + 1)]))
-    cuts = [np.zeros(n + 1, int)]
-    for _ in range(1, min(buckets, n)):
-        now, cut = best.copy(), cuts[-1] * 0
-        todo = [(1, n, 0, n - 1)]
-        while todo:
-            a, b, low, high = todo.pop()
-            if a > b:
-                continue
-            j = (a + b) // 2
-            i = np.arange(low, min(high, j - 1) + 1)
-            total = best[i] + cost(i, j)
-            k = int(total.argmin())
-            now[j], cut[j] = total[k], i[k]
-            todo += [(a, j - 1, low, int(i[k])), (j + 1, b, int(i[k]), high)]
+    c, w = [0], [0]
+    for x, k in zip(lengths, counts, strict=True):
+        c.append(c[-1] + k)
+        w.append(w[-1] + x * k)
+    best: list[int | None] = [0] + [None] * n
+    cuts: list[list[int]] = []
+    for _ in range(min(buckets, n)):
+        now: list[int | None] = [0] + [None] * n
+        cut = [0] * (n + 1)
+        hull: list[tuple[int, int, int]] = []  # (slope, height, i)
+        at = 0
+        for j in range(1, n + 1):
+            if (b := best[j - 1]) is not None:
+                m, h = -c[j - 1], b + w[j - 1]
+                while len(hull) > at + 1 and (hull[-1][1] - hull[-2][1]) * (hull[-1][0] - m) >= (h - hull[-1][1]) * (hull[-2][0] - hull[-1][0]):
+                    hull.pop()
+                if not hull or hull[-1][0] > m:
+                    hull.append((m, h, j - 1))
+            x = lengths[j - 1]
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] < hull[at][0] * x + hull[at][1]:
+                at += 1
+            now[j] = hull[at][0] * x + hull[at][1] + x * c[j] - w[j]
+            cut[j] = hull[at][2]
         best = now
         cuts.append(cut)
     out, j = [], n
@@ -77,7 +70,7 @@ def boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) ->
         if j == 0:
             break
         out.append(lengths[j - 1])
-        j = int(cut[j])
+        j = cut[j]
     return out[::-1]
 
 
@@ -89,39 +82,43 @@ def pack(
     buckets: int = BUCKETS,
     budget: int = TOKEN_BUDGET,
 ) -> DataFrame:
-    """(id, n_tokens, bucket, bucket_tokens, batch, slot, padding) of every row.
+    """(id, n_tokens, bucket, bucket_tokens, batch, slot, padding, oversize) of every row.
 
-    length: tokens of a row; the words of the text by default. Null counts as 0. A document longer than the
-    budget is a batch of its own. Rows of a bucket are ordered by a hash of the id, then the id; repeated rows are packed each.
-    batch names bucket, shard and number. The driver gets the histogram alone, at most
-    EXACT + STEPS rows a doubling beyond, and the cuts. Other columns are ignored.
+    length: tokens of a row, see bpe.lengths(); the words of the text by default. Lengths are stored once. Null text or a null
+    length counts as 0. A document longer than the budget is oversize: a batch of its own, padded to nothing, in a bucket after the last.
+    Rows of a bucket are ordered by a hash of the id, then the id and the length; rows that repeat an id are packed each, rows with a
+    null id as well, ties in any order. An empty table gives no rows. The driver gets the histogram alone, of at most budget + 2 rows.
+    batch names bucket, shard and number. Other columns are ignored.
     """
     n = F.coalesce((word_count(F.col(text_col)) if length is None else length).cast("long"), F.lit(0))
-    rows = docs.select(F.col(id_col), n.alias("cs_n")).withColumn("cs_bin", binned(F.col("cs_n")))
-    histogram = sorted(tuple(r) for r in rows.groupBy("cs_bin").count().collect())
+    rows = stored(docs.select(F.col(id_col), n.alias("cs_n")), "packing-lengths")
+    over = budget + 1
+    histogram = sorted(tuple(r) for r in rows.groupBy(F.least("cs_n", F.lit(over)).alias("bin")).count().collect())
+    beyond = histogram.pop()[1] if histogram and histogram[-1][0] == over else 0
     ends = boundaries([x for x, _ in histogram], [x for _, x in histogram], buckets)
-    sizes = [0] * len(ends)
+    sizes = [0] * len(ends) + [beyond]
     for x, k in histogram:
-        sizes[int(np.searchsorted(ends, x))] += k
-    per = [max(1, budget // max(1, e)) for e in ends]
+        sizes[bisect_left(ends, x)] += k
+    per = [*(max(1, budget // max(1, e)) for e in ends), 1]
     # whole batches a shard, so that few batches stay partly filled
     shards = [max(1, k // (math.ceil(SHARD_ROWS / p) * p)) for k, p in zip(sizes, per, strict=True)]
-    pick = lambda xs: F.element_at(F.array(*(F.lit(int(x)).cast("long") for x in xs or [0])), F.col("bucket") + 1)
-    bucket = F.size(F.filter(F.array(*(F.lit(int(e)).cast("long") for e in ends[:-1] or [-1])), lambda e: e < F.col("cs_bin"))) - int(not ends[:-1])
-    order = F.xxhash64(F.col(id_col))
+    pick = lambda xs: F.element_at(F.array(*(F.lit(int(x)).cast("long") for x in xs)), F.col("bucket") + 1)
+    bucket = F.size(F.filter(F.array(*(F.lit(e).cast("long") for e in [*ends, *[budget] * (not ends)])), lambda e: e < F.col("cs_n")))
     dealt = (
-        rows.withColumn("bucket", bucket.cast("int"))
-        .withColumn("cs_hash", order)
-        .withColumn("cs_shard", F.pmod(F.col("cs_hash"), pick(shards)))
+        rows.withColumn("bucket", F.when(F.col("cs_n") > budget, len(ends)).otherwise(bucket).cast("int"))
+        .withColumn("cs_hash", F.xxhash64(F.col(id_col)))
+        .withColumn("cs_shard", F.pmod(F.xxhash64("cs_hash", "cs_n"), pick(shards)))
     )
     within = W.partitionBy("bucket", "cs_shard").orderBy("cs_hash", id_col, "cs_n")
     placed = dealt.withColumn("cs_rank", F.row_number().over(within).cast("long") - 1)
+    end = F.when(F.col("bucket") == len(ends), F.col("cs_n")).otherwise(pick([*ends, 0]))
     return placed.select(
         F.col(id_col),
         F.col("cs_n").alias("n_tokens"),
         "bucket",
-        pick(ends).alias("bucket_tokens"),
+        end.alias("bucket_tokens"),
         F.concat_ws(":", "bucket", "cs_shard", F.floor(F.col("cs_rank") / pick(per))).alias("batch"),
         F.pmod(F.col("cs_rank"), pick(per)).alias("slot"),
-        (pick(ends) - F.col("cs_n")).alias("padding"),
+        (end - F.col("cs_n")).alias("padding"),
+        (F.col("cs_n") > budget).alias("oversize"),
     )

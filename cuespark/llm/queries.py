@@ -8,7 +8,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from cuespark.llm import bpe, html_main, knn, langid, near_dup, packing, quality, secret_scan, suffix_dedup, toxicity
 from cuespark.llm._util import table
 
@@ -47,7 +46,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(bpe.lengths(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN), F.col("n_tokens"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_byte_bpe,
         op10_top_k,
     )
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 def _secret_sql() -> str:
@@ -148,5 +148,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_secret_scan": _secret_sql(), "op3_suffix_dedup": _SUFFIX_SQL, "op5_near_dup": _NEAR_SQL, "op10_top_k": _TOP_SQL}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_secret_scan": _secret_sql(), "op3_suffix_dedup": _SUFFIX_SQL, "op5_near_dup": _NEAR_SQL, "op10_top_k": _TOP_SQL}

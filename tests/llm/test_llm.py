@@ -342,20 +342,57 @@ def test_bpe(spark, rows, docs):
     assert bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
-def test_packing(spark, rows, docs):
-    for _ in range(100):
-        n = RNG.randrange(1, 9)
-        lengths, counts, most = sorted(RNG.sample(range(40), n)), [RNG.randrange(1, 9) for _ in range(n)], RNG.randrange(1, 5)
-        cost = lambda ends: sum((min(e for e in ends if e >= x) - x) * c for x, c in zip(lengths, counts, strict=True))  # noqa: B023, E731
-        best = min(cost((*cut, lengths[-1])) for r in range(min(most, n)) for cut in itertools.combinations(lengths[:-1], r))
+def cost(ends, lengths, counts):
+    return sum((min(e for e in ends if e >= x) - x) * c for x, c in zip(lengths, counts, strict=True))
+
+
+def test_boundaries():
+    for _ in range(300):
+        n = RNG.randrange(1, 10)
+        lengths, counts, most = sorted(RNG.sample(range(RNG.choice([12, 90, 5000])), n)), [RNG.choice([1, 2, 9, 1000]) for _ in range(n)], RNG.randrange(1, 6)
+        best = min(cost((*cut, lengths[-1]), lengths, counts) for r in range(min(most, n)) for cut in itertools.combinations(lengths[:-1], r))
         ends = packing.boundaries(lengths, counts, most)
-        assert len(ends) <= most and cost(ends) == best
-    got = packing.pack(docs, budget=300).collect()
-    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((r[0], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for r in rows)
-    assert all(r.padding == r.bucket_tokens - r.n_tokens >= 0 for r in got)
-    batches = Counter(r.batch for r in got)
-    assert all(n * next(r.bucket_tokens for r in got if r.batch == b) <= 300 or n == 1 for b, n in batches.items())
-    assert len({(r.batch, r.slot) for r in got}) == len(got) and packing.pack(docs.limit(0)).count() == 0
+        assert len(ends) <= most and set(ends) <= set(lengths) and cost(ends, lengths, counts) == best
+    # against quadratic dynamic programming
+    lengths = sorted(RNG.sample(range(65_000), 250))
+    counts = [RNG.randrange(1, 10**6) for _ in lengths]
+    best = {0: 0}
+    for _ in range(7):
+        best = {j: min(best[i] + sum((lengths[j - 1] - x) * k for x, k in zip(lengths[i:j], counts[i:j], strict=True)) for i in range(j) if i in best) for j in range(1, 251)} | {0: 0}
+    assert cost(packing.boundaries(lengths, counts, 7), lengths, counts) == best[250]
+
+
+def test_packing(spark, rows, docs):
+    docs = docs.unionByName(docs.where("doc_id = 10").withColumn("doc_id", F.lit(None).cast("bigint")))
+    rows = [*rows, *((None, *r[1:]) for r in rows if r[0] == 10)]
+    words = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x or ""))
+    for budget, buckets in ((300, 4), (65_536, 16), (5, 2)):
+        got = packing.pack(docs, budget=budget, buckets=buckets).collect()
+        key = lambda x: (x[0] is None, x)
+        assert sorted(((r.doc_id, r.n_tokens) for r in got), key=key) == sorted(((r[0], words(r[1])) for r in rows), key=key)
+        assert all(r.padding == r.bucket_tokens - r.n_tokens >= 0 and r.oversize == (r.n_tokens > budget) for r in got)
+        assert all(r.padding == 0 and sum(x.batch == r.batch for x in got) == 1 for r in got if r.oversize)
+        by = Counter(r.n_tokens for r in got if not r.oversize)
+        own = sorted(by)
+        ends = {r.bucket_tokens for r in got if not r.oversize}
+        assert len(ends) <= buckets and ends <= set(own)
+        want = min(cost((*cut, own[-1]), own, [by[x] for x in own]) for k in range(min(buckets, 4)) for cut in itertools.combinations(own[:-1], k)) if len(own) < 40 and buckets <= 4 else None
+        assert want is None or sum(r.padding for r in got) == want
+        batches = Counter(r.batch for r in got)
+        assert all(n * next(r.bucket_tokens for r in got if r.batch == b) <= budget or n == 1 for b, n in batches.items())
+        assert len({(r.batch, r.slot) for r in got}) == len(got)
+    assert packing.pack(docs.limit(0)).count() == 0
+    one = spark.createDataFrame([(1, "a " * 70_000), (2, "b c")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.bucket_tokens, r.padding, r.oversize) for r in packing.pack(one).collect()} == {(1, 70_000, 0, True), (2, 2, 0, False)}
+    assert packing.pack(one.where("doc_id = 1")).first().oversize and packing.pack(one, F.lit(None).cast("int")).where("n_tokens = 0").count() == 2
+
+
+def test_packing_by_tokens(spark, docs):
+    """The lengths are those of the encoder."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    n = bpe.lengths(docs, path, public_tokenizers.PATTERN)
+    assert collected(n, "doc_id", "n_tokens") == collected(bpe.encode(docs, path, public_tokenizers.PATTERN), "doc_id", "n_tokens")
+    assert collected(packing.pack(n, F.col("n_tokens")), "doc_id", "n_tokens") == collected(n, "doc_id", "n_tokens")
 
 
 def test_html():
