@@ -1,10 +1,11 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-Features are the presence of words and of word beginnings (inflected forms share a stem).
+Features are the presence of words and of word beginnings (inflected forms share a stem), each scaled by the logarithm of
+its odds in toxic texts, so that a word that only toxic texts have needs little evidence more.
 The loss is logistic, plus a penalty on the squared change of the logit when the identity
 terms of a labelled text are swapped for other terms of their set, plus L2: a bare mention of
-a group then can't move the score. The vocabulary is counted over all rows that may be
-learned from; the weights are fitted on the driver on a bounded sample of them.
+a group then can't move the score. Vocabulary and weights are fitted on a bounded sample of the labelled rows,
+which the executors cut down to the distinct words of each text before the driver gets it.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ FEATURES = 4_000
 LEAST_DOCS = 4
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
-L2 = 3e-4
+L2 = 3e-3
 SWAP = 1.0
 CACHE = 500_000
-ROUNDS = 300
+ROUNDS = 400
+#: Added to counts before their odds are taken.
+PRIOR = 0.5
 # Sets of identity terms; a term is swapped for the others of its set.
 IDENTITY_SETS: tuple[tuple[str, ...], ...] = (
     ("women", "men", "girls", "boys"),
@@ -74,45 +77,49 @@ _NEXT = {w: (*s[k + 1 :], *s[:k]) for s in IDENTITY_SETS for k, w in enumerate(s
 
 
 def fit_weights(texts: list[str], labels: list[int], vocabulary: list[str], swaps: int = 2) -> Model:
-    """Minimise logistic loss + SWAP * mean squared logit change under swaps + L2, by accelerated gradient steps."""
+    """Minimise logistic loss + SWAP * mean squared logit change under swaps + L2, by accelerated gradient steps.
+
+    Each weight's step follows a bound on its own curvature: the sum over a feature's rows of that row's features.
+    """
     index = {w: k for k, w in enumerate(vocabulary)}
     d = len(vocabulary)
-
-    def rows(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [sorted(index[f] for f in features(x) if f in index) for x in some]
-        sizes = [len(f) for f in found]
-        return np.repeat(np.arange(len(some)), sizes), np.fromiter((k for f in found for k in f), np.int64, sum(sizes))
-
     y = np.asarray(labels, float)
     n = len(texts)
     if not n or not d or y.min() == y.max():
         return Model({}, -4.0 if not n or not y.any() else 4.0)
-    r, c = rows(texts)
-    pairs = [(x, s) for x in texts for s in (swapped(x, k) for k in range(swaps)) if s != x]
-    n_pairs = len(pairs)
-    r1, c1 = rows([a for a, _ in pairs])
-    r2, c2 = rows([b for _, b in pairs])
+    found = [sorted(index[f] for f in features(x) if f in index) for x in texts]
+    row = np.repeat(np.arange(n), [len(f) for f in found])
+    col = np.fromiter((k for f in found for k in f), np.int64, len(row))
+    toxic, other = ((np.bincount(col, z[row], d) + PRIOR) / (z.sum() + 2 * PRIOR) for z in (y, 1 - y))
+    size = np.abs(np.log(toxic / other))
+    mass = np.bincount(row, size[col], n)
+    # what differs between a text and the text with its identity terms swapped
+    change: list[tuple[int, int, int]] = []
+    n_pairs = 0
+    for x, own in zip(texts, found, strict=True):
+        for s in (swapped(x, k) for k in range(swaps)):
+            if s != x:
+                now = {index[f] for f in features(s) if f in index}
+                change += [(n_pairs, f, 1) for f in sorted(set(own) - now)] + [(n_pairs, f, -1) for f in sorted(now.difference(own))]
+                n_pairs += 1
+    pair, feature, sign = np.array(change, np.int64).reshape(-1, 3).T
+    step = sign * size[feature]
+    curve = 0.25 / n * np.bincount(col, size[col] * (mass[row] + 1), d) + L2
+    if n_pairs:
+        curve += 2 * SWAP / n_pairs * np.bincount(feature, np.abs(step) * np.bincount(pair, np.abs(step), n_pairs)[pair], d)
     w, b = np.zeros(d), np.log(y.mean() / (1 - y.mean()))
     vw, vb = w.copy(), b
-    # a bound on the curvature: rows have at most `most` features
-    most = max(np.bincount(r, minlength=n).max(), 1)
-    # features seen in few rows move slowly under plain steps, so each is scaled by its count
-    seen = np.bincount(c, minlength=d)
-    scale = 1 / (0.25 * np.sqrt(seen / n * most) + L2 + 1e-9) / np.sqrt(most)
-    if n_pairs:
-        scale = np.minimum(scale, 1 / (4 * SWAP * most))
     for t in range(ROUNDS):
-        z = np.bincount(r, vw[c], n) + vb
+        z = np.bincount(row, (size * vw)[col], n) + vb
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = np.bincount(c, (p - y)[r], d) / n + L2 * vw
+        g = np.bincount(col, size[col] * (p - y)[row], d) / n + L2 * vw
         if n_pairs:
-            change = np.bincount(r1, vw[c1], n_pairs) - np.bincount(r2, vw[c2], n_pairs)
-            g += 2 * SWAP / n_pairs * (np.bincount(c1, change[r1], d) - np.bincount(c2, change[r2], d))
-        nw, nb = vw - scale * g, vb - 0.5 * (p - y).mean()
+            g += 2 * SWAP / n_pairs * np.bincount(feature, step * np.bincount(pair, step * vw[feature], n_pairs)[pair], d)
+        nw, nb = vw - g / curve, vb - (p - y).mean() / (0.25 * (mass.mean() + 1))
         m = t / (t + 3)
         vw, vb = nw + m * (nw - w), nb + m * (nb - b)
         w, b = nw, nb
-    return Model({v: float(x) for v, x in zip(vocabulary, w, strict=True) if abs(x) > 1e-4}, float(b))
+    return Model({v: float(x) for v, x in zip(vocabulary, w * size, strict=True) if abs(x) > 1e-4}, float(b))
 
 
 def score(model: Model, text: str | None, cache: dict[str, tuple[str, ...]] | None = None) -> float:
@@ -137,7 +144,12 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on labelled rows that are not held out: a sample bounded by TRAIN_TOXIC and TRAIN_OTHER, by hash of the id."""
+    """Fit on labelled rows that are not held out: a sample bounded by TRAIN_TOXIC and TRAIN_OTHER, by hash of the id.
+
+    Labels other than 0 and 1, null ones included, and rows with a null id don't count; of several labels of an id the
+    larger does. Documents without text are left out; rows that repeat an id are all taken. Without a label of each kind the
+    model has no weights, and scores all texts alike. Documents' and labels' other columns are ignored.
+    """
     marks = (
         labels.select(F.col(id_col).alias("i"), F.col("toxic").alias("y"))
         .where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("i")))
@@ -152,15 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < int(part * (1 << 20)) + (part == 1.0)))
     chosen = F.broadcast(marks.where(keep))  # at most about TRAIN_TOXIC + TRAIN_OTHER rows of two numbers
     picked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("x")).where("x is not null").join(chosen, "i")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "x", 8 << 20):
+            own = [" ".join(sorted(set(_WORD.findall(x.lower())))) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.string()), batch.column(2)], ["i", "x", "y"])
+
+    schema = f"i {picked.schema['i'].dataType.simpleString()}, x string, y {picked.schema['y'].dataType.simpleString()}"
     texts, ys, df = [], [], {}
     # the scan runs on all executors; the driver then reads the bounded sample alone, in order of the ids
-    for r in stored(picked, "toxicity-sample").orderBy("i").toLocalIterator(prefetchPartitions=True):
-        own = features(r["x"])
-        # only the features and identity terms of a text stay in the driver's memory, as text to be read again
-        for f in own:
-            n = df.setdefault(f, [0, 0])
-            n[r["y"]] += 1
-        texts.append(" ".join(sorted(f for f in own if not f.endswith("*"))))
+    for r in stored(arrow_map(picked.select("i", "x", "y"), words, schema), "toxicity-sample").orderBy("i", "x").toLocalIterator(prefetchPartitions=True):
+        for f in features(r["x"]):
+            df.setdefault(f, [0, 0])[r["y"]] += 1
+        texts.append(r["x"])
         ys.append(int(r["y"]))
     total = max(1, len(ys))
     pos = max(1, sum(ys))
@@ -177,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) of every row. Null and empty texts get the bias alone.
 
-    Repeated rows give repeated rows; other columns are ignored. The model is bounded by
-    FEATURES and is broadcast.
+    Repeated rows give repeated rows, null ids pass through and count as not held out, an empty table gives no rows; other columns
+    are ignored. Long texts are read whole. Equal sets of words have equal scores. The model is bounded by FEATURES and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

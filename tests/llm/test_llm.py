@@ -319,12 +319,54 @@ def test_toxicity(spark):
     train = [(b, c) for a, b, c in data]
     vocabulary = sorted(set().union(*(toxicity.features(b) for b, _ in train)))
     change = lambda m: abs(m.weights.get("women", 0) - m.weights.get("men", 0))
+    assert toxicity.classify(docs.limit(0), model).count() == 0 and toxicity.fit(docs.limit(0), labels).weights == {}
     fair = toxicity.fit_weights([b for b, _ in train], [c for _, c in train], vocabulary)
     plain = toxicity.fit_weights([b for b, _ in train], [c for _, c in train], vocabulary, swaps=0)
     assert change(fair) < 0.5 * change(plain)
     assert toxicity.classify(docs, toxicity.fit(docs, labels.limit(0))).where("predicted = 1").count() == 0
 
 
+def test_neutral_mentions(spark):
+    """Groups that stand mostly in toxic texts of the sample: neutral texts that mention them are not called toxic for it, insults are."""
+    own = random.Random(12)
+    groups = ["women", "muslims", "immigrants", "gay", "black"]
+    insults = ["scumbag", "idiot", "vermin"]
+
+    def make(bad):
+        mention = own.choice(groups) if own.random() < (0.9 if bad else 0.05) else ""
+        return " ".join([prose(15), own.choice(insults) if bad and own.random() < 0.6 else "", mention, prose(15)])
+
+    data = [(make(k % 4 == 0), int(k % 4 == 0)) for k in range(800)]
+    vocabulary = sorted(f for f, n in Counter(f for x, _ in data for f in toxicity.features(x)).items() if n >= 4)
+    fair, plain = (toxicity.fit_weights([x for x, _ in data], [y for _, y in data], vocabulary, swaps=k) for k in (2, 0))
+    neutral = [f"{prose(15)} {g} {prose(15)}" for g in groups for _ in range(20)]
+    bad = [f"{prose(15)} {i} {g} {prose(15)}" for g in groups for i in insults for _ in range(4)]
+    called = lambda m, some: sum(toxicity.score(m, x) >= toxicity.THRESHOLD for x in some)
+    assert called(plain, neutral) > 90 and called(fair, neutral) < 0.5 * called(plain, neutral)
+    assert called(fair, bad) >= 0.95 * len(bad)
+    for x in neutral[::20]:
+        moved = lambda m: abs(toxicity.score(m, x) - toxicity.score(m, toxicity.swapped(x, 0)))  # noqa: B023, E731
+        assert moved(fair) <= moved(plain) + 1e-9
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Long texts, repeated rows and ids, ties, nulls, and columns whose names clash."""
+    texts = [LONG + " scumbag", "scumbag scumbag", "scumbag", None, "", "fine words", "fine words", "words fine"]
+    train = [(f"{'scumbag' if k % 2 else ''} {prose(12)}", k % 2) for k in range(60)]
+    rows = [(1000 + k, x) for k, x in enumerate(texts)] + [(1005, "fine words"), (None, "scumbag")] + [(k, x) for k, (x, _) in enumerate(train)]
+    docs = spark.createDataFrame([(i, x, 1, 1, "q") for i, x in rows], "doc_id bigint, text string, toxic int, y int, x string")
+    labels = spark.createDataFrame([(k, y, "t", "l") for k, (_, y) in enumerate(train)] + [(0, 0, "t", "l"), (3, None, "t", "l")], "doc_id bigint, toxic int, text string, lang string")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.classify(docs, model).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert len(by[1005]) == 2 and len({r.score for k in (1005, 1006, 1007) for r in by[k]}) == 1
+    assert by[1001][0].score == by[1002][0].score == by[None][0].score > 0.3 and by[1000][0].predicted == 1 and not by[None][0].held_out
+    assert by[1003][0].score == by[1004][0].score < 0.3
+
+
 def test_bpe(spark, rows, docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
@@ -393,6 +435,11 @@ def test_packing_by_tokens(spark, docs):
     n = bpe.lengths(docs, path, public_tokenizers.PATTERN)
     assert collected(n, "doc_id", "n_tokens") == collected(bpe.encode(docs, path, public_tokenizers.PATTERN), "doc_id", "n_tokens")
     assert collected(packing.pack(n, F.col("n_tokens")), "doc_id", "n_tokens") == collected(n, "doc_id", "n_tokens")
+    encoder = bpe.Encoder(bpe.Merges(bpe.read_ranks(path)), public_tokenizers.PATTERN)
+    odd = " \t\n\x0b\x1c\x1f\x85\xa0\u2003\u3000'"
+    texts = ["".join(RNG.choice(odd + "ab1é. sdt") for _ in range(RNG.randrange(40))) for _ in range(3000)] + ["it's we'll  a 's 't", "a b c", " ", "", "日本 語 ١٢ x"]
+    assert encoder.lengths(texts) == [len(x) for x in encoder.encode(texts)]
+    assert encoder.lengths(texts[::-1]) == [len(x) for x in encoder.encode(texts[::-1])]
 
 
 def test_html():
