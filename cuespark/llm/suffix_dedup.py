@@ -9,13 +9,17 @@ suffix that has the rank of one in a document with a smaller id marks its bytes
 
 Equal segments are combined before they are shuffled and again in their bucket, and only
 suffixes whose fingerprint is not unique in the bucket are sorted, so passages held by very
-many documents cost one segment each map task. The bytes removed are exact.
+many documents cost one segment each map task. A bucket that grows over HOLD_BYTES isn't held:
+its segments are combined and dealt anew, by another hash of the grams, to buckets of their own,
+which are sorted in a next step. So no task holds more, however common a gram is. The bytes removed are exact.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +40,23 @@ SLICE_BYTES = 1 << 15
 BUCKET_BYTES = 8 << 20
 #: Segments of a bucket hold this many times the text, about.
 SPREAD = 3.5
-#: Buckets are sorted in so many rounds, each with a scan of its own; a round's segments leave the disk before the next one's come.
-ROUNDS = 2
+#: Text of segments that a task holds of one bucket; a bucket of more is dealt anew to FANOUT buckets, with another hash each time, in STEPS steps at most.
+HOLD_BYTES = 24 << 20
+FANOUT = 64
+STEPS = 8
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SHIFT = [[next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)] for a in range(PERIOD)]
 
 
-def bucket_of(text: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of the window that starts at each place; text has at least WINDOW bytes."""
+def _mixed(step: int) -> np.uint64:
+    """An odd multiplier for each step; the first has _M3."""
+    x = np.uint64(int.from_bytes(hashlib.sha256(b"%d" % step).digest()[:8], "little"))
+    return x | np.uint64(1) if step else _M3
+
+
+def bucket_of(text: np.ndarray, buckets: int, step: int = 0) -> np.ndarray:
+    """The bucket of the window that starts at each place; text has at least WINDOW bytes. Each step has a hash of its own."""
+    own = _mixed(step)
     n = len(text) - WINDOW + 1
     out = np.empty(n, np.int32)
     with np.errstate(over="ignore"):
@@ -54,7 +67,7 @@ def bucket_of(text: np.ndarray, buckets: int) -> np.ndarray:
             w8 = w4[:-4] | w4[4:] << np.uint64(32)
             h = w8[:-4] * _M1 + w4[8:] * _M2
             h ^= h >> np.uint64(31)
-            low = ((h * _M3) >> np.uint64(32)).astype(np.uint32)
+            low = ((h * own) >> np.uint64(32)).astype(np.uint32)
             width = WINDOW - GRAM + 1
             span = 1
             while 2 * span <= width:
@@ -71,7 +84,7 @@ def _write(docs: list[tuple[int, int]], doc: np.ndarray, start: np.ndarray, size
     used, doc = np.unique(doc, return_inverse=True)
     table = np.array([docs[k] for k in used.tolist()], np.int64).reshape(-1, 2)
     head = struct.pack("<III", len(table), len(doc), len(text))
-    return zstandard.ZstdCompressor(level=1).compress(
+    return zstandard.ZstdCompressor(level=3).compress(
         b"".join((head, table.tobytes(), doc.astype("<u4").tobytes(), start.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), text))
     )
 
@@ -87,8 +100,8 @@ def _read(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, b
     return table, *three, raw[at + 12 * n : at + 12 * n + t]
 
 
-def _dealer(buckets: int, doc_parts: int, turn: int = 0, rounds: int = 1):
-    """Texts to segments of this turn's buckets; spans that a smaller document of the same block settles go straight to their document's part."""
+def _dealer(buckets: int, doc_parts: int):
+    """Texts to segments of buckets; spans that a smaller document of the same block settles go straight to their document's part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "cs_text", BLOCK_BYTES):
@@ -103,8 +116,7 @@ def _dealer(buckets: int, doc_parts: int, turn: int = 0, rounds: int = 1):
             for i, key, text in rows:
                 least = first.setdefault(text, i)
                 if least < i:
-                    if turn == 0:
-                        spans.append((i, key, 0, len(text)))
+                    spans.append((i, key, 0, len(text)))
                 elif not own or own[-1][:2] != (i, key):
                     own.append((i, key, text))
             del rows
@@ -120,7 +132,7 @@ def _dealer(buckets: int, doc_parts: int, turn: int = 0, rounds: int = 1):
                     to[max(0, e - WINDOW + 1) : e] = -1
                 cuts = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]))
                 begin, stop, to = cuts[:-1], cuts[1:] + WINDOW - 1, to[cuts[:-1]]
-                good = (to >= 0) & (to % rounds == turn)
+                good = to >= 0
                 begin, stop, to = begin[good], stop[good], to[good]
                 doc = np.searchsorted(ends, begin, "right")
                 seen: dict[bytes, int] = {}
@@ -160,7 +172,7 @@ def _dealer(buckets: int, doc_parts: int, turn: int = 0, rounds: int = 1):
 
 def _batch(kinds: list[int], places: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(kinds, pa.int32()), pa.array(places, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "place", "blob"]
+        [pa.array(kinds, pa.int32()), pa.array(places, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "place", "blob"]
     )
 
 
@@ -287,8 +299,8 @@ def fingerprints(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_bucket(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
-    """Spans (id, key, start, end) to remove, of all segments of one bucket."""
+def _gathered(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct segments, and of every segment its number there, its document as id and key, its start)."""
     number: dict[bytes, int] = {}
     which: list[np.ndarray] = []
     docs, starts = [], []
@@ -299,7 +311,49 @@ def sort_bucket(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
         which.append(np.fromiter((number.setdefault(s, len(number)) for s in cut), np.int64, len(cut)))
         docs.append(table[doc])
         starts.append(start)
-    of, doc, start = np.concatenate(which), np.concatenate(docs), np.concatenate(starts)
+    return list(number), np.concatenate(which), np.concatenate(docs), np.concatenate(starts)
+
+
+def deal_again(blobs: list[bytes], place: int, step: int, doc_parts: int) -> Iterator[pa.RecordBatch]:
+    """Segments of a part of a bucket to buckets of the next step; those that a smaller document of the part has as well go as spans at once."""
+    number, of, doc, start = _gathered(blobs)
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, doc[:, 0])
+    sizes = np.fromiter(map(len, number), np.int64, len(number))
+    whole = doc[:, 0] > least[of]
+    if whole.any():
+        yield _spans(np.stack((doc[whole, 0], doc[whole, 1], start[whole], start[whole] + sizes[of[whole]]), 1), doc_parts)
+    mine = np.flatnonzero(~whole)
+    text = b"".join(number)
+    begins = np.cumsum(sizes) - sizes
+    to = bucket_of(np.frombuffer(text, np.uint8), FANOUT, step)
+    for e in begins[1:].tolist():  # windows that run into the next segment belong to no bucket
+        to[max(0, e - WINDOW + 1) : e] = -1
+    cuts = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]))
+    begin, stop, to = cuts[:-1], cuts[1:] + WINDOW - 1, to[cuts[:-1]]
+    begin, stop, to = begin[to >= 0], stop[to >= 0], to[to >= 0]
+    segment = np.searchsorted(begins, begin, "right") - 1
+    # of each distinct segment the occurrences in its smallest document go on
+    mine = mine[np.argsort(of[mine], kind="stable")]
+    left = np.searchsorted(of[mine], np.arange(len(number)), "left")
+    times = (np.searchsorted(of[mine], np.arange(len(number)), "right") - left)[segment]
+    piece = np.repeat(np.arange(len(segment)), times)
+    one = mine[np.arange(len(piece)) + np.repeat(left[segment] - (np.cumsum(times) - times), times)]
+    order = np.argsort(to[piece], kind="stable")
+    piece, one = piece[order], one[order]
+    pairs, pair = np.unique(doc[one], axis=0, return_inverse=True)
+    table = [tuple(x) for x in pairs.tolist()]
+    at = np.concatenate(([0], np.flatnonzero(np.diff(to[piece])) + 1, [len(piece)]))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        x, y = begin[piece[a:b]], stop[piece[a:b]]
+        part = b"".join([text[c:d] for c, d in zip(x.tolist(), y.tolist(), strict=True)])
+        blob = _write(table, pair.ravel()[a:b], start[one[a:b]] + x - begins[segment[piece[a:b]]], y - x, part)
+        yield _batch([2], [place * FANOUT + int(to[piece[a]])], [blob])
+
+
+def sort_bucket(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """Spans (id, key, start, end) to remove, of all segments of one bucket."""
+    number, of, doc, start = _gathered(blobs)
     sizes = np.fromiter(map(len, number), np.int64, len(number))
     text = np.frombuffer(b"".join(number) + bytes(2 * WINDOW), np.uint8)
     number.clear()
@@ -342,23 +396,37 @@ def sort_bucket(blobs: list[bytes]) -> list[tuple[int, int, int, int]]:
     return np.concatenate(out) if out else np.empty((0, 4), np.int64)
 
 
-def _sorter(doc_parts: int):
+def _sorter(doc_parts: int, step: int = 0):
+    """Rows of buckets, in order: spans of sorted ones (kind 1), segments of those that are too large, dealt anew (kind 2)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        at = None
+        at, size, large = None, 0, False
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if large:
+                yield from deal_again(held, at, step + 1, doc_parts)
+            elif len(got := sort_bucket(held)):
+                yield _spans(got, doc_parts)
+
         for batch in batches:
             for kind, place, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if kind:  # spans that are settled pass through
+                if kind == 1:  # spans that are settled pass through
                     yield _batch([1], [place], [blob.as_py()])
                     continue
-                if at is not None and place != at:
-                    if len(got := sort_bucket(held)):
-                        yield _spans(got, doc_parts)
-                    held = []
+                if held and place != at:
+                    yield from done()
+                    held, size, large = [], 0, False
+                elif size > HOLD_BYTES and step < STEPS:
+                    large = True
+                    yield from done()
+                    held, size = [], 0
+                large = large and place == at
                 at = place
                 held.append(blob.as_py())
-        if held and len(got := sort_bucket(held)):
-            yield _spans(got, doc_parts)
+                size += zstandard.frame_content_size(held[-1])
+        if held:
+            yield from done()
 
     return work
 
@@ -431,22 +499,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes are kept. Repeated rows give repeated rows and don't remove each other; rows with a
     null id take no part and are kept. Other columns than those to carry are ignored.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = int(max(4 * n * ROUNDS, total * SPREAD / BUCKET_BYTES))
+    buckets = int(max(4 * n, total * SPREAD / BUCKET_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("cs_id"), F.xxhash64(text_col).alias("cs_key"), F.col(text_col).alias("cs_text"))
-    spans = None
-    for turn in range(ROUNDS):
-        found = stored(
-            arrow_map(rows, _dealer(buckets, n, turn, ROUNDS), "kind int, place int, blob binary")
-            .repartition(n, "kind", "place")
-            .sortWithinPartitions("kind", "place")
-            .mapInArrow(_sorter(n), "kind int, place int, blob binary")
-            .select("place", "blob"),
-            "suffix-spans",
-        )
-        spans = found if spans is None else spans.unionByName(found)
+    kind = "kind int, place bigint, blob binary"
+    dealt, found = arrow_map(rows, _dealer(buckets, n), kind), []
+    for step in range(STEPS + 1):
+        sorted_out = dealt.repartition(n, "kind", "place").sortWithinPartitions("kind", "place").mapInArrow(_sorter(n, step), kind)
+        found.append(stored(sorted_out, "suffix-spans"))
+        dealt = found[-1].where("kind = 2")
+        if dealt.isEmpty():
+            break
+    spans = reduce(DataFrame.unionByName, (x.where("kind = 1").select(F.col("place").cast("int").alias("place"), "blob") for x in found))
     names = ["place", "cs_id", "cs_key", "cs_text", *(f"cs_c{k}" for k in range(len(carry)))]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

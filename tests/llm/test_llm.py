@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -13,11 +14,15 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cuespark.llm import bpe, html_main, knn, langid, near_dup, packing, quality, secret_scan, suffix_dedup, toxicity
 
+# executors cannot import this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RNG = random.Random(7)
 WORDS = {"aa": "und der die ich nicht wasser über haus gehen baum".split(), "bb": "the and of with water house going tree what here".split()}
 
@@ -484,3 +489,45 @@ def test_pipeline(spark, tmp_path, docs):
     assert "[SECRET]" in left[13].text and all(r.n_chars == len(r.text) for r in left.values())
     assert 9 not in left and left[7].text == PASSAGE and PASSAGE not in left[8].text and left[8].text[:20] == TEXTS[8][:20]
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r.doc_id for r in now.collect())
+
+
+def test_large_buckets_are_dealt_anew(spark, monkeypatch):
+    """With buckets that never fit, the same bytes go, in steps."""
+    own = random.Random(4)
+    common = "https://www.example.org/a/very/common/beginning/of/lines/that/all/texts/hold "
+    part = [" ".join(own.choices(WORDS["bb"], k=12)) for _ in range(30)]
+    texts = [" ".join(common[: own.randrange(20, len(common))] + own.choice(part) + own.choice(["", "é", "x" * 70]) for _ in range(12)) for _ in range(60)] + [" " * 300, "ab" * 90]
+    texts += texts[:5] + [None, "short"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    raw = [(x or "").encode() for x in texts]
+    first = {}
+    for i, x in enumerate(raw):
+        for k in range(len(x) - 49):
+            first.setdefault(x[k : k + 50], i)
+    want = {}
+    for i, x in enumerate(raw):
+        gone = np.zeros(len(x), bool)
+        for k in range(len(x) - 49):
+            if first[x[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        want[i] = bytes(b for b, g in zip(x, gone, strict=True) if not g)
+    rounds = []
+    stored = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda *x: (rounds.append(1), stored(*x))[1])
+    assert {r.doc_id: bytes(r.kept_bytes) for r in suffix_dedup.remove_repeats(df).collect()} == want and len(rounds) == 1
+    # the limit reaches the executors with the function
+    monkeypatch.setattr(suffix_dedup, "_sorter", _small)
+    assert {r.doc_id: bytes(r.kept_bytes) for r in suffix_dedup.remove_repeats(df).collect()} == want and len(rounds) > 2
+
+
+def _small(n, step):
+    def work(batches):
+        from cuespark.llm import suffix_dedup  # the executor's own
+
+        suffix_dedup.HOLD_BYTES, suffix_dedup.STEPS = 2000, 3
+        try:
+            yield from suffix_dedup._sorter(n, step)(batches)
+        finally:
+            suffix_dedup.HOLD_BYTES, suffix_dedup.STEPS = 24 << 20, 8
+
+    return work
