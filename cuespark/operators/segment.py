@@ -12,6 +12,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import NumericType
 
 #: The share of an image's height in each of the two strips that are looked at; the largest difference inside a group.
 STRIP = 0.20
@@ -54,6 +55,10 @@ def mean_difference(a: Any, b: Any) -> float:
     return float(np.abs(np.asarray(a, float) - np.asarray(b, float)).mean())
 
 
+def same(x: Any) -> Any:
+    return x
+
+
 def decode_image(row: dict[str, Any]) -> np.ndarray:
     """RGB of a row of Spark's image source: BGR or grey bytes."""
     data = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["nChannels"])
@@ -64,24 +69,27 @@ def anchored_groups(
     frames: DataFrame,
     threshold: float = THRESHOLD,
     signal: str = "signal",
-    load: Callable[[Any], Any] = lambda x: x,
+    load: Callable[[Any], Any] = same,
     difference: Callable[[Any, Any], float] = mean_difference,
 ) -> DataFrame:
     """(video_id, seq, start_time, end_time, frame, n_frames) of each group of frames (video_id, seq, path, timestamp, signal).
 
     load turns a frame's signal (a number, a vector, a path, image bytes) into what difference compares; it
-    runs in the fold, so a path column moves paths, not pixels. A group ends at its last frame's own time.
+    runs in the fold, so a path column moves paths, not pixels. A group ends at its last frame's own time. Frames
+    without video_id, seq or signal take no part; frames that repeat a seq are compared in any order.
     """
     names = ["video_id", "seq", "path", "timestamp", signal]
+    # plain numbers are compared as such, without a call for each row
+    numeric = load is same and difference is mean_difference and isinstance(frames.schema[signal].dataType, NumericType)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group: list[Any] | None = None
         anchor: Any = None
         for batch in batches:
             done = []
-            for video, seq, path, time, raw in zip(*(batch[c] for c in names), strict=True):
-                value = load(raw)
-                if group is not None and group[0] == video and difference(anchor, value) <= threshold:
+            for video, seq, path, time, raw in zip(*(batch[c].tolist() for c in names), strict=True):
+                value = raw if numeric else load(raw)
+                if group is not None and group[0] == video and (abs(anchor - value) if numeric else difference(anchor, value)) <= threshold:
                     group[3] = time
                     group[5] += 1
                     continue
@@ -92,4 +100,4 @@ def anchored_groups(
         if group is not None:
             yield pd.DataFrame([group], columns=[x.split()[0] for x in _OUT.split(", ")])
 
-    return frames.select(*names).repartition("video_id").sortWithinPartitions("video_id", "seq").mapInPandas(fold, _OUT)
+    return frames.select(*names).dropna(subset=["video_id", "seq", signal]).repartition("video_id").sortWithinPartitions("video_id", "seq").mapInPandas(fold, _OUT)

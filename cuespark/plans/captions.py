@@ -14,7 +14,7 @@ from cuespark.functions.times import parse_skip_range
 from cuespark.operators.cluster import similar_clusters
 from cuespark.operators.ranges import drop_in_ranges, merged
 from cuespark.operators.runs import identical_runs
-from cuespark.operators.segment import anchored_groups, mean_difference
+from cuespark.operators.segment import anchored_groups, mean_difference, same
 from cuespark.plans.checkpoint import Store, callable_name, content
 from cuespark.plans.infer import analyze, prefilter, reconcile
 from cuespark.sources.models import ANALYZE_PROMPT, FILTER_PROMPT, RECONCILE_PROMPT, TextClient, VisionClient
@@ -28,7 +28,7 @@ def captions(
     text: TextClient,
     store: Store,
     signal: str = "signal",
-    load: Callable[[Any], Any] = lambda x: x,
+    load: Callable[[Any], Any] = same,
     difference: Callable[[Any, Any], float] = mean_difference,
     limits: dict[str, int] | None = None,
     source: str | None = None,

@@ -85,7 +85,7 @@ def reconcile(clustered: DataFrame, client: TextClient, workers: int = 8, policy
 
     A cluster is tried again as a whole. One of a single event passes without a call, as does a position whose readings are equal.
     """
-    from cuespark.operators.reconcile import readings
+    from cuespark.operators.reconcile import cluster_readings
 
     def settle(raw: str) -> dict[str, Any]:
         out = []
@@ -95,10 +95,7 @@ def reconcile(clustered: DataFrame, client: TextClient, workers: int = 8, policy
             out.append({"text": text, "style": p["style"], "color": p["color"], "position": p["position"]})
         return {"v": out}
 
-    by = ["video_id", "cluster_id", "seq", "start_time", "end_time"]
-    item = F.struct("position", "texts", "style", "color")
-    asked = readings(clustered).groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("_ask"))
-    many = call_rows(asked, "_ask", settle, ELEMENTS, workers, policy, **options).drop("_ask").withColumnRenamed("result", "elements")
-    size = clustered.groupBy("video_id", "cluster_id").agg(F.count("*").alias("_size"))
-    single = clustered.join(size.where("_size = 1"), ["video_id", "cluster_id"]).select(*by, "elements")
-    return many.unionByName(single.withColumns({"error": F.lit(None).cast("string"), "attempts": F.lit(0)}))
+    rows = cluster_readings(clustered).withColumns({"_ask": F.to_json("asks"), "_many": F.col("size") > 1}).drop("asks", "size")
+    done = call_rows(rows, "_ask", settle, ELEMENTS, workers, policy, when="_many", otherwise=None, **options)
+    elements = F.when(F.col("_many"), F.col("result")).otherwise(F.col("elements"))
+    return done.withColumn("elements", elements).drop("_ask", "_many", "result")
