@@ -11,7 +11,7 @@ from cuespark.schema import POSITIONS
 
 
 def similar_clusters(events: DataFrame, threshold: float = 0.75, gap: float = 0.5) -> DataFrame:
-    """events with cluster_id, from 1 in each video; events without elements are left out, and don't part others.
+    """events with cluster_id, from 1 in each video; events without elements are left out, and don't part others. A null time begins a cluster.
 
     An event joins the cluster of the one before if it starts at most gap after that one's end,
     both have the same positions, and at each position the texts' ratio is threshold or more. The
@@ -24,7 +24,7 @@ def similar_clusters(events: DataFrame, threshold: float = 0.75, gap: float = 0.
         .withColumn(
             "_near",
             F.col("_p").isNotNull()
-            & (F.col("start_time") - F.col("_p.end_time") <= gap)
+            & F.coalesce(F.col("start_time") - F.col("_p.end_time") <= gap, F.lit(False))
             & (positions(F.col("elements")) == positions(F.col("_p.elements"))),
         )
     )

@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,11 +15,13 @@ from pyspark.sql import types as T
 
 from cuespark.config import EngineConfig, RetryPolicy
 from cuespark.functions import ass, text, times
-from cuespark.operators import cluster, ranges, reconcile, runs, segment
+from cuespark.operators import cluster, lookup, ranges, reconcile, runs, segment
 from cuespark.plans import captions, checkpoint, infer
 from cuespark.schema import ELEMENTS, color
+from cuespark.sources import files
 from cuespark.sources.files import shared_folder
 from cuespark.sources.models import ScriptedClient
+from cuespark.sources.video import parse_probes
 from cuespark.sources.workers import worker_limits
 
 SKIP = [(86400.0, 172800.0), (150000.0, 200000.0), (200000.0, 260000.0), (1000000.0, 1100000.5)]
@@ -330,13 +333,98 @@ def pipeline_end_to_end(spark, sf_dir):
     return captions.captions(frames(spark, sf_dir), _videos(spark, sf_dir), config, READER, PICKER, store)
 
 
+#: Pictures made from events: grey, WIDE x HIGH, so strips of 3 rows at the top and the bottom.
+WIDE, HIGH = 5, 15
+
+
+def _picture(event_id: int) -> np.ndarray:
+    y, x = np.mgrid[0:HIGH, 0:WIDE]
+    return np.repeat(((event_id * 7 + y * y * 31 + x * 17) % 256)[..., None], 3, axis=2).astype(np.uint8)
+
+
+def edge_maps(spark, sf_dir):
+    """The sum and the largest value of the edge map of each event's picture."""
+
+    def work(batches):
+        for batch in batches:
+            maps = [segment.edge_map(_picture(i)).astype(np.int64) for i in batch["event_id"]]
+            yield pd.DataFrame({"event_id": batch["event_id"], "total": [m.sum() for m in maps], "most": [m.max() for m in maps]})
+
+    return table(spark, sf_dir, "events").select("event_id").mapInPandas(work, "event_id bigint, total bigint, most bigint")
+
+
+def edge_groups(spark, sf_dir):
+    """Frames grouped by the edges of their pictures, loaded by path inside the fold."""
+    load = lambda path: segment.edge_map(_picture(int(path.rpartition("/")[2])))
+    groups = segment.anchored_groups(frames(spark, sf_dir).withColumn("file", F.col("path")), 100.0, "file", load, segment.edge_difference)
+    return groups.select("video_id", "seq", "n_frames")
+
+
+def required_lookup(spark, sf_dir):
+    """Every nation must have its region, as every group must have its answer."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("r_regionkey"))
+    return lookup.required_lookup(nations, table(spark, sf_dir, "region"), ["r_regionkey"]).select("id", "r_name")
+
+
+def _written(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def lines_round_trip(spark, sf_dir):
+    """Frames written as JSON lines, in two appends, and read again."""
+    f, path = frames(spark, sf_dir).select("video_id", "seq", "path", "timestamp"), _written(spark, "lines")
+    files.write_lines(f.where("seq % 2 = 0"), path)
+    files.write_lines(f.where("seq % 2 = 1"), path, append=True)
+    return files.read_lines(spark, path).select(F.from_json("value", "video_id bigint, seq bigint, path string, timestamp double").alias("r")).select("r.*")
+
+
+def manifest_round_trip(spark, sf_dir):
+    """The videos' manifest, one JSON array, written and read again."""
+    path = _written(spark, "manifest")
+    files.write_json_array(_videos(spark, sf_dir), path, ["video_id"])
+    return files.read_json(spark, path, "video_id bigint, width int, height int, fps double")
+
+
+def document_files(spark, sf_dir):
+    """The written .ass files, line by line."""
+    path = _written(spark, "documents")
+    files.write_documents(ass_document(spark, sf_dir), path)
+    lines = spark.read.text(path).where("value like 'Dialogue%'")
+    return lines.groupBy(F.col("video_id").cast("bigint").alias("video_id")).agg(F.count("*").alias("n"), F.min("value").alias("least"))
+
+
+def probe_parse(spark, sf_dir):
+    raw = F.concat(F.lit('{"streams": [{"width": '), F.col("event_id") % 3000, F.lit(', "height": 720, "r_frame_rate": "'), F.expr(_RATES), F.lit('"}]}'))
+    probe = F.when(F.col("event_id") % 11 == 0, '{"streams": []}').otherwise(raw)
+    return parse_probes(table(spark, sf_dir, "events").select("event_id", probe.alias("probe"))).select("event_id", "width", "height", "fps")
+
+
+def model_reconcile(spark, sf_dir):
+    """Clusters of a day, settled by a client that picks the reading that sorts first."""
+    done = infer.reconcile(_varied(spark, sf_dir), PICKER, 8, ONCE)
+    flat = F.array_join(F.transform("elements", lambda x: F.concat_ws("|", x["position"], x["text"], x["style"], x["color"])), ";")
+    return done.select("video_id", "cluster_id", "seq", "start_time", "end_time", flat.alias("elements"), "attempts")
+
+
+def stored_stages(spark, sf_dir):
+    """Rows stored by a stage that fails for some, and by the run after it."""
+    groups = frames(spark, sf_dir).select(F.col("event_id").cast("string").alias("id"), "seq", F.col("path").alias("frame"))
+    store = checkpoint.Store(spark, _written(spark, "stages"))
+    try:
+        store.rows("filter", groups, lambda df: infer.prefilter(df, VISION, 8, ONCE), source=sf_dir)
+    except checkpoint.StageFailed:
+        pass
+    return store.rows("filter", groups, lambda df: infer.prefilter(df, READER, 8, ONCE), source=sf_dir).select("id", "seq", "has_text", "attempts")
+
+
 def queries() -> dict[str, Query]:
     own = (
         skip_anti_join, skip_merge_ranges, skip_range_counts, time_format, time_parse, frame_timestamps, fps_parse, anchored_groups,
         anchored_groups_l1, prefilter_parse, elements_parse, color_resolve, ass_color, identical_runs, ratio_pairs, fuzzy_clusters_gap,
         fuzzy_clusters_sim, fuzzy_clusters_text, majority_first_tie, majority_quality, distinct_positions, cluster_collapse, numbered_readings,
         resume_last_write, resume_split, backend_sum, kept_count, event_similarity, dialogue_lines, ass_document, model_cascade, stage_failures,
-        pipeline_end_to_end,
+        pipeline_end_to_end, edge_maps, edge_groups, required_lookup, lines_round_trip, manifest_round_trip, document_files, probe_parse,
+        model_reconcile, stored_stages,
     )
     return {f.__name__: f for f in own}
 
@@ -385,6 +473,33 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {_F}, {_A}, c AS (SELECT *, round_even(start_time / 500 * 100, 0)::BIGINT AS cs, round_even(end_time / 500 * 100, 0)::BIGINT AS ce FROM a WHERE text <> 'error'), "
         f"l AS (SELECT video_id, seq, 0 AS pos, {line} AS line FROM c)"
     )
+    # the two strips of a picture, one above the other, and their edges: 9 times a pixel less its 3 x 3 neighbours; borders as they are
+    grey = "(event_id * 7 + {y} * {y} * 31 + {x} * 17) % 256"
+    pixels = (
+        "p AS (SELECT event_id, r, x, " + grey.format(y="([0, 1, 2, 12, 13, 14])[r]", x="x") + " AS v FROM (SELECT event_id FROM events), range(1, 7) AS a(r), range(0, 5) AS b(x)), "
+        "s AS (SELECT *, sum(v) OVER (PARTITION BY event_id, r ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS h FROM p), "
+        "n AS (SELECT *, sum(h) OVER (PARTITION BY event_id, x ORDER BY r ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS w FROM s), "
+        "e AS (SELECT event_id, r, x, CASE WHEN r IN (1, 6) OR x IN (0, 4) THEN v ELSE greatest(0, least(255, 9 * v - w)) END AS v FROM n)"
+    )
+    edges = f"{pixels}, m AS (SELECT event_id, list(v ORDER BY r, x) AS v FROM e GROUP BY event_id)"
+    # the whole run: skip, group, filter, read, merge, cluster, pick the first reading, write
+    run = (
+        f"WITH RECURSIVE {_F}, {_RATIOS}, k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS n FROM f WHERE t NOT BETWEEN 86400 AND 172800), "
+        "x AS (SELECT video_id, n, seq, t, value AS anchor, seq AS g FROM k WHERE n = 1 UNION ALL "
+        "SELECT k.video_id, k.n, k.seq, k.t, CASE WHEN abs(x.anchor - k.value) <= 100 THEN x.anchor ELSE k.value END, CASE WHEN abs(x.anchor - k.value) <= 100 THEN x.g ELSE k.seq END "
+        "FROM x JOIN k ON k.video_id = x.video_id AND k.n = x.n + 1), "
+        "g AS (SELECT video_id, g AS seq, min(t) AS s, max(t) AS e FROM x GROUP BY video_id, g), "
+        "o AS (SELECT g.video_id, g.seq, s, e, event_type AS text FROM g JOIN f ON f.video_id = g.video_id AND f.seq = g.seq), "
+        "q AS (SELECT *, CASE WHEN text = lag(text) OVER (PARTITION BY video_id ORDER BY seq) THEN 0 ELSE 1 END AS new FROM o), "
+        "h AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY seq) AS run FROM q), "
+        "v AS (SELECT video_id, min(seq) AS seq, arg_min(s, seq) AS s, arg_max(e, seq) AS e, min(text) AS text FROM h WHERE text <> 'error' GROUP BY video_id, run), "
+        "p AS (SELECT *, lag(text) OVER w AS pt, lag(e) OVER w AS pe FROM v WINDOW w AS (PARTITION BY video_id ORDER BY seq)), "
+        f"j AS (SELECT p.video_id, seq, s, e, text, CASE WHEN pt IS NOT NULL AND s - pe <= {GAP} AND ratio >= 0.2 THEN 0 ELSE 1 END AS new FROM p LEFT JOIN r ON r.a = pt AND r.b = text), "
+        "c AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY seq) AS cluster_id FROM j), "
+        "d AS (SELECT video_id, min(seq) AS seq, arg_min(s, seq) AS s, arg_max(e, seq) AS e, min(text) AS text FROM c GROUP BY video_id, cluster_id), "
+        "t AS (SELECT video_id, seq, text, round_even(s * 100, 0)::BIGINT AS cs, round_even(e * 100, 0)::BIGINT AS ce FROM d), "
+        "b AS (SELECT video_id, string_agg('Dialogue: 0,' || " + _CS.format(c="cs") + " || ',' || " + _CS.format(c="ce") + " || ',Default,,0,0,0,,{\\an2\\c&HFFFFFF&}' || text, chr(10) ORDER BY seq) AS body FROM t GROUP BY video_id) "
+    )
     head = ass.HEADER.replace("'", "''").replace("{width}", "1920").replace("{height}", "' || (video_id % 3 * 360 + 360) || '")
     day = "floor(start_time / 86400)::BIGINT AS cluster_id"
     votes = lambda c: f"SELECT video_id, cluster_id, position, {c}, count(*) AS n, min(seq) AS o FROM d GROUP BY ALL"
@@ -436,6 +551,24 @@ def oracle_sql() -> dict[str, str]:
         "kept_count": "SELECT user_id AS video_id, count(*) FILTER (event_type <> 'error') AS kept FROM events GROUP BY ALL",
         "event_similarity": f"WITH {_F}, {_A}, k AS (SELECT video_id, seq, CASE WHEN text = 'error' THEN '' ELSE position || '|' || text END AS k FROM a), "
         "p AS (SELECT *, lag(k) OVER (PARTITION BY video_id ORDER BY seq) AS p FROM k) SELECT video_id, seq, k = p AS alike FROM p WHERE p IS NOT NULL",
+        "edge_maps": f"WITH {pixels} SELECT event_id, sum(v)::BIGINT AS total, max(v)::BIGINT AS most FROM e GROUP BY event_id",
+        "edge_groups": f"WITH RECURSIVE {_F}, {edges}, w AS MATERIALIZED (SELECT f.video_id, f.seq, f.t, m.v FROM f JOIN m USING (event_id)), "
+        "y AS (SELECT video_id, seq, t, v AS anchor, seq AS g FROM w WHERE seq = 0 UNION ALL SELECT video_id, seq, t, CASE WHEN near THEN anchor ELSE v END, CASE WHEN near THEN g ELSE seq END FROM ("
+        "SELECT w.video_id, w.seq, w.t, w.v, y.anchor, y.g, list_avg(list_transform(list_zip(y.anchor, w.v), lambda z: abs(z[1] - z[2]))) <= 100 AS near FROM y JOIN w ON w.video_id = y.video_id AND w.seq = y.seq + 1)) "
+        "SELECT video_id, min(seq)::BIGINT AS seq, count(*) AS n_frames FROM y GROUP BY video_id, g",
+        "required_lookup": "SELECT n_nationkey AS id, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+        "lines_round_trip": f"WITH {_F} SELECT video_id, seq, event_type || '/' || event_id AS path, t AS timestamp FROM f",
+        "manifest_round_trip": f"SELECT DISTINCT user_id AS video_id, 1920 AS width, (user_id % 3 * 360 + 360)::INTEGER AS height, 24000::DOUBLE / 1001 AS fps FROM events",
+        "document_files": f"{lines} SELECT video_id, count(*) AS n, min(line) AS least FROM l GROUP BY video_id",
+        "probe_parse": "SELECT event_id, CASE WHEN event_id % 11 > 0 THEN event_id % 3000 END::INTEGER AS width, CASE WHEN event_id % 11 > 0 THEN 720 END AS height, "
+        "CASE WHEN event_id % 11 > 0 THEN CASE event_id % 5 WHEN 0 THEN 24000::DOUBLE / 1001 WHEN 1 THEN 25.0::DOUBLE WHEN 3 THEN 30.0::DOUBLE END END AS fps FROM events",
+        "model_reconcile": f"WITH {_F}, {_A}, d AS (SELECT *, {day} FROM a WHERE text <> 'error'), "
+        "s AS (SELECT video_id, cluster_id, min(seq) AS seq, arg_min(start_time, seq) AS start_time, arg_max(end_time, seq) AS end_time, count(*) AS n FROM d GROUP BY ALL), "
+        "m AS (SELECT video_id, cluster_id, position, min(text) AS text FROM d GROUP BY ALL) "
+        "SELECT s.video_id, cluster_id, s.seq, s.start_time, s.end_time, string_agg(position || '|' || text || '|' || style || '|' || color, ';' ORDER BY position) AS elements, CASE WHEN any_value(s.n) > 1 THEN 1 ELSE 0 END AS attempts "
+        f"FROM s JOIN m USING (video_id, cluster_id) JOIN {best('style')} USING (video_id, cluster_id, position) JOIN {best('color')} USING (video_id, cluster_id, position) GROUP BY ALL",
+        "stored_stages": f"WITH {_F} SELECT event_id::VARCHAR AS id, seq, event_type <> 'error' AS has_text, 1 AS attempts FROM f",
+        "pipeline_end_to_end": f"{run} SELECT video_id, '{head}' || coalesce(body || chr(10), '') AS content FROM (SELECT DISTINCT video_id FROM f) LEFT JOIN b USING (video_id)",
         "dialogue_lines": f"{lines} SELECT video_id, seq, pos, line FROM l",
         "ass_document": f"{lines}, v AS (SELECT DISTINCT video_id FROM f), b AS (SELECT video_id, string_agg(line, chr(10) ORDER BY seq) AS body FROM l GROUP BY ALL) "
         f"SELECT video_id, '{head}' || coalesce(body || chr(10), '') AS content FROM v LEFT JOIN b USING (video_id)",
