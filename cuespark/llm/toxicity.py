@@ -24,6 +24,8 @@ from cuespark.llm._util import arrow_map, pieces, stored
 #: Bounds of the sample the weights are fitted on: rows of each label.
 TRAIN_TOXIC = 5000
 TRAIN_OTHER = 7000
+#: The sample comes to the driver in so many parts, one after another.
+READS = 64
 #: At most so many features, those that tell most about the label first; each in at least so many documents.
 FEATURES = 4_000
 LEAST_DOCS = 4
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     schema = f"i {picked.schema['i'].dataType.simpleString()}, x string, y {picked.schema['y'].dataType.simpleString()}"
     texts, ys, df = [], [], {}
     # the scan runs on all executors; the driver then reads the bounded sample alone, in order of the ids
-    for r in stored(arrow_map(picked.select("i", "x", "y"), words, schema), "toxicity-sample").orderBy("i", "x").toLocalIterator(prefetchPartitions=True):
+    for r in stored(arrow_map(picked.select("i", "x", "y"), words, schema), "toxicity-sample").repartitionByRange(READS, "i").sortWithinPartitions("i", "x").toLocalIterator(prefetchPartitions=True):
         for f in features(r["x"]):
             df.setdefault(f, [0, 0])[r["y"]] += 1
         texts.append(r["x"])
