@@ -17,7 +17,6 @@ import tiktoken
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from cuespark.llm import bpe, html_main, knn, langid, near_dup, packing, quality, secret_scan, suffix_dedup, toxicity
 
 # executors cannot import this module
@@ -474,23 +473,6 @@ def test_html_rows(spark):
     assert collected(html_main.extract(df), "page_id", "text", "n_chars") == [(1, "a b.", 4), (2, "", 0), (2, "", 0)]
 
 
-def test_pipeline(spark, tmp_path, docs):
-    path = f"{tmp_path}/documents.parquet"
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    plain.write.parquet(path)
-    now = spark.read.parquet(path)
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
-        out = stage(spark, now, str(tmp_path))
-        assert out.columns == plain.columns
-        out.write.parquet(f"{tmp_path}/{k}")
-        now = spark.read.parquet(f"{tmp_path}/{k}")
-    left = {r.doc_id: r for r in now.collect()}
-    assert {0, 1, 2, 42}.isdisjoint(left) and 14 not in left and 11 not in left and 12 not in left
-    assert "[SECRET]" in left[13].text and all(r.n_chars == len(r.text) for r in left.values())
-    assert 9 not in left and left[7].text == PASSAGE and PASSAGE not in left[8].text and left[8].text[:20] == TEXTS[8][:20]
-    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r.doc_id for r in now.collect())
-
-
 def test_large_buckets_are_dealt_anew(spark, monkeypatch):
     """With buckets that never fit, the same bytes go, in steps."""
     own = random.Random(4)
