@@ -9,7 +9,9 @@ meet under one key at least, and that distance is the limit for candidates.
 Documents that meet under a key and whose whole signatures are near are joined to candidate
 groups, and links in a group are confirmed on full shingle sets. Neither step lists pairs: it walks
 from member to member over those not reached yet, and emits one link for each one reached.
-Keys and groups of many documents are cut into blocks, and every pair of blocks is walked.
+Keys of many documents are cut into blocks, and every pair of blocks is walked. A large group is first held against its
+middle, the member nearest to the majority of its signatures, by a join that isn't gathered anywhere; only the members that
+aren't linked to the middle are cut into blocks, each of which is walked with itself and with every block of the group.
 Copies of one set are one member throughout.
 """
 
@@ -32,7 +34,7 @@ PLACES = CHUNKS * WIDTH
 FAR = 2 * CHUNKS - 1
 #: A block holds about so many members under a key, or shingles in a group.
 KEY_BLOCK = 4096
-GROUP_BLOCK = 1_500_000
+GROUP_BLOCK = 200_000
 _SEEDS = np.array([int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "little") for k in range(2 * PLACES)], np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
@@ -249,6 +251,49 @@ def _pairs_of_blocks(rows: DataFrame, group: str) -> DataFrame:
     )
 
 
+def _against_middle(words: int, percent: int):
+    """Rows (label, rep, text, middle, text of the middle): whether the two are linked."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, middle = None, np.empty(0, np.uint64)
+        for batch in batches:
+            linked = []
+            for text, m, raw in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if m != at:
+                    at, middle = m, shingles(raw.as_buffer().to_pybytes(), words)
+                own = shingles(text.as_buffer().to_pybytes(), words)
+                common = len(np.intersect1d(own, middle, assume_unique=True))
+                linked.append(100 * common >= percent * (len(own) + len(middle) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(linked, pa.bool_())], ["label", "rep", "middle", "linked"])
+
+    return work
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, rep, sign) to (label, rep, places of the signature as numbers)."""
+    for batch in batches:
+        signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").astype(np.int32)
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(signs), PLACES).cast(pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["label", "rep", "places"])
+
+
+def middles(groups: DataFrame) -> DataFrame:
+    """(label, middle) of groups (label, rep, sign): the member whose signature is nearest to each place's most frequent value."""
+    own = stored(arrow_map(groups, _places, "label bigint, rep bigint, places array<int>"), "near-places")
+    most = (
+        own.select("label", F.posexplode("places").alias("at", "value"))
+        .groupBy("label", "at", "value")
+        .count()
+        .groupBy("label", "at")
+        .agg(F.max_by("value", F.struct("count", "value")).alias("value"))
+        .groupBy("label")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("most"))
+    )
+    far = F.aggregate(F.zip_with("places", "most", lambda a, b: (a != b).cast("int")), F.lit(0), lambda n, x: n + x)
+    near = own.hint("merge").join(stored(most, "near-majority"), "label").select("label", "rep", far.alias("far"))
+    return near.groupBy("label").agg(F.min_by("rep", F.struct("far", "rep")).alias("middle"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2, percent: int = 80
 ) -> DataFrame:
@@ -291,15 +336,42 @@ def near_duplicates(
         .agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("n_shingles") / GROUP_BLOCK)).alias("cs_blocks"))
     )
     chosen = groups.select(F.col("node").alias("rep"), "label").join(blocks, "label")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("cs_text")).where("rep is not null")
-    # the ids of candidates grow with the corpus, so they are never broadcast
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("cs_text")).where("rep is not null and cs_text is not null")
+    # rows that repeat an id bring all their texts; the ids of candidates grow with the corpus, so they are never broadcast
+    held = stored(texts.join(stored(chosen, "near-chosen").hint("merge"), "rep"), "near-texts")
+    pairs = _pairs_of_blocks(held.where("cs_blocks = 1"), "label").select("g", "bi", "bj", "block", "rep", "cs_text")
+    large, direct = held.where("cs_blocks > 1"), None
+    if not large.isEmpty():
+        signs = members.select("rep", "sign", "n_shingles")
+        middle = stored(middles(chosen.where("cs_blocks > 1").select("label", "rep").join(signs, "rep").select("label", "rep", "sign")), "near-middles")
+        central = stored(
+            middle.join(large.select(F.col("rep").alias("middle"), F.col("cs_text").alias("cs_middle")), "middle").groupBy("label", "middle").agg(F.min("cs_middle").alias("cs_middle")),
+            "near-central",
+        )
+        # the label's middle is one row, so AQE can split a large group over many tasks
+        seen = large.select("label", "rep", "cs_text").hint("merge").join(central, "label").select("label", "rep", "cs_text", "middle", "cs_middle")
+        linked = stored(arrow_map(seen, _against_middle(words, percent), "label bigint, rep bigint, middle bigint, linked boolean"), "near-linked")
+        direct = linked.where("linked and rep <> middle").select(F.col("middle").alias("a"), F.col("rep").alias("b"))
+        size = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.col("n_shingles"))), F.lit(0)) / GROUP_BLOCK)
+        counts = stored(
+            linked.join(signs.select("rep", "n_shingles"), "rep").groupBy("label").agg(size(~F.col("linked")).alias("apart"), size(F.col("linked")).alias("about")).where("apart > 0"),
+            "near-apart",
+        )
+        role = linked.groupBy("label", "rep").agg(F.min("linked").alias("linked"))
+        dealt = large.select("rep", "cs_text").join(role, "rep").hint("merge").join(counts, "label")
+        own = F.pmod(F.xxhash64("rep"), F.when(F.col("linked"), F.col("about")).otherwise(F.col("apart"))) + F.when(F.col("linked"), F.col("apart")).otherwise(0)
+        last = F.when(F.col("linked"), F.col("apart")).otherwise(F.col("apart") + F.col("about")) - 1
+        pairs = pairs.unionByName(
+            dealt.withColumn("block", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+            .select(F.col("label").alias("g"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "cs_text")
+        )
     confirmed = (
-        _pairs_of_blocks(texts.join(stored(chosen, "near-chosen").hint("merge"), "rep"), "label")
-        .select("g", "bi", "bj", "block", "rep", "cs_text")
-        .repartition(n, "g", "bi", "bj")
+        pairs.repartition(n, "g", "bi", "bj")
         .sortWithinPartitions("g", "bi", "bj")
         .mapInArrow(grouped(set_walker(words, percent)), "a bigint, b bigint")
     )
+    confirmed = confirmed if direct is None else confirmed.unionByName(direct)
     sure = stored(confirmed, "near-confirmed")
     linked = components(sure)
     classes = stored(
@@ -308,7 +380,7 @@ def near_duplicates(
         .select("digest", F.coalesce("label", "rep").alias("class")),
         "near-classes",
     )
-    dropped(members, groups, sure)
+    dropped(members, groups, sure, held)
     own = F.col("cs_id")
     component = F.when(own.isNotNull(), F.coalesce("class", own))
     return (
