@@ -12,21 +12,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuespark.llm._util import arrow_map, pieces
 
 BLOCK_CHARS = 8 << 20
-#: A Python worker holds this many bytes of pretokens it has met; then it forgets them.
+#: A task holds this many bytes of pretokens it has met; then it forgets them.
 CACHE_BYTES = 24 << 20
 _NONE = np.int32(1 << 30)
 
@@ -255,23 +253,12 @@ class Encoder:
         return number
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(call: str, merges: Broadcast, pattern: str) -> Encoder:
-    """The encoder that this Python worker has for a call: tasks one after another share what it has met, within CACHE_BYTES."""
-    if call not in _encoders:
-        _encoders.clear()
-        _encoders[call] = Encoder(merges.value, pattern)
-    return _encoders[call]
-
-
 def lengths(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens) of every row, as encode() counts them; null text has none. Other columns are ignored."""
-    shared, call = docs.sparkSession.sparkContext.broadcast(Merges(read_ranks(ranks_path))), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(Merges(read_ranks(ranks_path)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(call, shared, pattern)
+        encoder = Encoder(shared.value, pattern)
         for batch in pieces(batches, "cs_text", BLOCK_CHARS):
             n = encoder.lengths([x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], [id_col, "n_tokens"])
@@ -289,10 +276,10 @@ def encode(
     the ids decode to. Repeated rows give repeated rows; other columns are ignored. The
     vocabulary is read on the driver and broadcast: its size doesn't depend on the corpus.
     """
-    shared, call = docs.sparkSession.sparkContext.broadcast(Merges(read_ranks(ranks_path))), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(Merges(read_ranks(ranks_path)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(call, shared, pattern)
+        encoder = Encoder(shared.value, pattern)
         for batch in pieces(batches, "cs_text", BLOCK_CHARS):
             rows = []
             for ids in encoder.encode([x or "" for x in batch.column(1).to_pylist()]):
