@@ -73,11 +73,14 @@ def prefilter(groups: DataFrame, client: VisionClient, workers: int = 4, policy:
 def analyze(groups: DataFrame, client: VisionClient, workers: int = 1, policy: RetryPolicy = RetryPolicy(), prompt: str = ANALYZE_PROMPT, **options: Any) -> DataFrame:
     """groups (with has_text) with elements, error, attempts; rows without text get no elements and no call.
 
-    One pass: groups is read once, so calls that it stands for are made once.
+    A row that the filter has failed for keeps that error, without a call. One pass: groups is read once, so calls that it stands for are made once.
     """
-    rows = groups.drop("error", "attempts")
+    failed = F.col("error") if "error" in groups.columns else F.lit(None).cast("string")
+    rows = groups.withColumn("_failed", failed).drop("error", "attempts")
     read = lambda frame: {"v": parse_elements(client.analyze(frame, system=prompt))}
-    return call_rows(rows, "frame", read, ELEMENTS, workers, policy, when="has_text", otherwise=[], **options).withColumnRenamed("result", "elements")
+    done = call_rows(rows, "frame", read, ELEMENTS, workers, policy, when="has_text", otherwise=[], **options)
+    elements = F.when(F.col("_failed").isNull(), F.col("result"))
+    return done.withColumns({"elements": elements, "error": F.coalesce("_failed", "error")}).drop("_failed", "result")
 
 
 def reconcile(clustered: DataFrame, client: TextClient, workers: int = 8, policy: RetryPolicy = RetryPolicy(), system: str = RECONCILE_PROMPT, **options: Any) -> DataFrame:

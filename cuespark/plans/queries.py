@@ -182,9 +182,9 @@ def identical_runs(spark, sf_dir):
 
 
 def ratio_pairs(spark, sf_dir):
-    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
-    # a handful of event types: the pairs are theirs, not the rows'
-    pairs = kinds.groupBy().agg(F.array_sort(F.collect_set("event_type")).alias("x")).select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b"))
+    """The ratio of each event's type against the one before, once for each pair that occurs."""
+    before = F.lag("event_type").over(W.partitionBy("video_id").orderBy("seq"))
+    pairs = frames(spark, sf_dir).select(before.alias("a"), F.col("event_type").alias("b")).where("a is not null").distinct()
     return pairs.select("a", "b", F.round(text.ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
@@ -316,8 +316,7 @@ ONCE = RetryPolicy(2, 0.0, 0.0)
 
 def model_cascade(spark, sf_dir):
     groups = frames(spark, sf_dir).withColumnRenamed("path", "frame").select("event_id", "frame")
-    asked = infer.prefilter(groups, VISION, 8, ONCE).where("error is null")
-    read = infer.analyze(asked, VISION, 8, ONCE)
+    read = infer.analyze(infer.prefilter(groups, READER, 8, ONCE), READER, 8, ONCE)
     return read.select("event_id", "has_text", F.coalesce(F.get("elements", F.lit(0))["text"], F.lit("")).alias("text"))
 
 
@@ -534,7 +533,7 @@ def oracle_sql() -> dict[str, str]:
         "identical_runs": f"WITH {_F}, {_A}, n AS (SELECT *, CASE WHEN text = lag(text) OVER (PARTITION BY video_id ORDER BY seq) THEN 0 ELSE 1 END AS n FROM a), "
         "g AS (SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY seq) AS g FROM n) "
         "SELECT video_id, min(seq)::BIGINT AS seq, arg_min(start_time, seq) AS start_time, arg_max(end_time, seq) AS end_time, min(text) AS text FROM g WHERE text <> 'error' GROUP BY video_id, g",
-        "ratio_pairs": f"WITH {_RATIOS}, k AS (SELECT DISTINCT event_type FROM events) SELECT a, b, ratio::DOUBLE AS ratio FROM r WHERE a IN (SELECT event_type FROM k) AND b IN (SELECT event_type FROM k)",
+        "ratio_pairs": f"WITH {_F}, {_RATIOS}, k AS (SELECT DISTINCT lag(event_type) OVER (PARTITION BY video_id ORDER BY seq) AS a, event_type AS b FROM f) SELECT a, b, ratio::DOUBLE AS ratio FROM r JOIN k USING (a, b)",
         "fuzzy_clusters_gap": _clusters_sql(1.0),
         "fuzzy_clusters_sim": _clusters_sql(0.2),
         "majority_first_tie": f"WITH {_F}, v AS (SELECT video_id, event_type, count(*) AS n, min(seq) AS o FROM f GROUP BY ALL) SELECT video_id, arg_max(event_type, row(n, -o)) AS event_type, max(n) AS n FROM v GROUP BY video_id",
@@ -572,6 +571,6 @@ def oracle_sql() -> dict[str, str]:
         "dialogue_lines": f"{lines} SELECT video_id, seq, pos, line FROM l",
         "ass_document": f"{lines}, v AS (SELECT DISTINCT video_id FROM f), b AS (SELECT video_id, string_agg(line, chr(10) ORDER BY seq) AS body FROM l GROUP BY ALL) "
         f"SELECT video_id, '{head}' || coalesce(body || chr(10), '') AS content FROM v LEFT JOIN b USING (video_id)",
-        "model_cascade": "SELECT event_id, event_type <> 'error' AS has_text, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS text FROM events WHERE event_id % 97 <> 0",
+        "model_cascade": "SELECT event_id, event_type <> 'error' AS has_text, CASE WHEN event_type = 'error' THEN '' ELSE event_type END AS text FROM events",
         "stage_failures": "SELECT count(*) FILTER (event_id % 97 = 0) AS failed, sum(CASE WHEN event_id % 97 = 0 THEN 2 ELSE 1 END)::BIGINT AS attempts FROM events",
     }

@@ -66,6 +66,9 @@ def test_each_row_is_asked_once(spark, tmp_path):
     rows = spark.createDataFrame([(k, f"{'abz'[k % 3]}{k}") for k in range(30)], "event_id bigint, frame string")
     done = infer.analyze(infer.prefilter(rows, client, 4, ONCE), client, 4, ONCE).collect()
     assert len(done) == 30 and all((r.elements == []) == (r.frame[0] == "z") and r.attempts == (r.frame[0] != "z") for r in done)
+    bad = ScriptedClient(seen=lambda path: "?" if path[0] == "a" else answer(path))
+    kept = infer.analyze(infer.prefilter(rows, bad, 4, ONCE), bad, 4, ONCE).collect()
+    assert all((r.error is not None) == (r.elements is None) == (r.frame[0] == "a") for r in kept) and len(kept) == 30
     asked = log.read_text().split()
     assert len(asked) == 50 and all(asked.count(r.frame) == 1 + r.has_text for r in done)
 
