@@ -61,8 +61,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session can be gone
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        context = spark.sparkContext
+        conf = context._jsc.hadoopConfiguration() if context._jsc else context._jvm.org.apache.hadoop.conf.Configuration()
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def dropped(*tables: DataFrame) -> None:
