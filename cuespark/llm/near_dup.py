@@ -311,7 +311,8 @@ def near_duplicates(
         .agg(F.min("cs_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sign").alias("sign")),
         "near-members",
     )
-    keyed = arrow_map(members.select("rep", "sign"), _keyed, "key bigint, rep bigint")
+    # a member makes PLACES keys, so its few bytes are dealt to all tasks first
+    keyed = arrow_map(members.select("rep", "sign").repartition(n), _keyed, "key bigint, rep bigint")
     live = stored(
         keyed.groupBy("key")
         .agg(F.count("*").alias("n"))
