@@ -388,8 +388,8 @@ def document_files(spark, sf_dir):
     """The written .ass files, line by line."""
     path = _written(spark, "documents")
     files.write_documents(ass_document(spark, sf_dir), path)
-    lines = spark.read.text(path).where("value like 'Dialogue%'")
-    return lines.groupBy(F.col("video_id").cast("bigint").alias("video_id")).agg(F.count("*").alias("n"), F.min("value").alias("least"))
+    lines = files.read_documents(spark, path).select("video_id", F.explode(F.split("content", r"\r\n|\r|\n")).alias("value")).where("value like 'Dialogue%'")
+    return lines.groupBy("video_id").agg(F.count("*").alias("n"), F.min("value").alias("least"))
 
 
 def probe_parse(spark, sf_dir):

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import shutil
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+#: Texts read by a task are sent on in batches of this many bytes.
+READ_BYTES = 8 << 20
+# Fixed value: what Spark's writers call the folder of rows without a value.
+_NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -108,8 +120,90 @@ def write_cluster_lines(clustered: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 
 
+def _local(spark: SparkSession, path: str) -> str | None:
+    """path as the operating system has it; None if it is in another file system than the local one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(p).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
+def _write_texts(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A file for each run of rows (name, value) of one name. It gets its name when it is whole, so a task can be tried again."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hidden = f".{uuid.uuid4().hex}"
+        rows = ((name.as_py(), value) for batch in batches for name, value in zip(*batch.columns, strict=True))
+        for name, own in groupby(rows, lambda row: row[0]):
+            with contextlib.suppress(FileExistsError):
+                os.mkdir(f"{folder}/{name}")
+            with open(f"{folder}/{name}/{hidden}", "wb") as file:
+                for _, value in own:
+                    file.write((value.as_py() or b"") + b"\n")
+            os.replace(f"{folder}/{name}/{hidden}", f"{folder}/{name}/document.ass")
+        yield from ()
+
+    return work
+
+
+def _read_texts(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(name, value): the text of each file of the folders that rows name, sent on in batches of READ_BYTES."""
+
+    def batch(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([x[i] for x in held], t) for i, t in enumerate((pa.string(), pa.binary()))], ["name", "value"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for name in (name for b in batches for name in b.column(0).to_pylist()):
+            with os.scandir(f"{folder}/{name}") as files:
+                paths = sorted(x.path for x in files if not x.name.startswith(("_", ".")))
+            for path in paths:
+                with open(path, "rb") as file:
+                    held.append((name, file.read()))
+                size += len(held[-1][1])
+                if size >= READ_BYTES:
+                    yield batch(held)
+                    held, size = [], 0
+        if held:
+            yield batch(held)
+
+    return work
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
-    """(video_id, content) as a text file for each video, in a folder of its own; every file ends with one line break."""
-    documents.select("video_id", F.regexp_replace("content", r"\n\z", "").alias("value")).repartition("video_id").write.mode(
-        "overwrite"
-    ).partitionBy("video_id").text(path)
+    """(video_id, content) as a text file for each video, in a folder of its own, video_id=...; every file ends with one line break.
+
+    On a local file system the tasks write the files themselves: Spark's writer starts processes for every file there, to set
+    its permissions. The folder appears under its name when all are written.
+    """
+    spark = documents.sparkSession
+    rows = documents.select("video_id", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    folder = _local(spark, path)
+    if folder is None or not isinstance(documents.schema["video_id"].dataType, IntegralType):
+        rows.repartition("video_id").write.mode("overwrite").partitionBy("video_id").text(path)
+        return
+    name = F.concat(F.lit("video_id="), F.coalesce(F.col("video_id").cast("string"), F.lit(_NULL)))
+    made = f"{folder}-{uuid.uuid4().hex}"
+    os.makedirs(made)
+    try:
+        named = rows.select(name.alias("name"), F.col("value").cast("binary").alias("value")).repartition("name").sortWithinPartitions("name")
+        named.mapInArrow(_write_texts(made), "name string").write.format("noop").mode("overwrite").save()
+        open(f"{made}/_SUCCESS", "w").close()
+        delete(spark, path)
+        os.rename(made, folder)
+    except BaseException:
+        shutil.rmtree(made, ignore_errors=True)
+        raise
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(video_id, content) of the files that write_documents wrote. On a local file system the driver lists only the videos' folders."""
+    folder = _local(spark, path)
+    if folder is None:
+        rows = spark.read.text(path, wholetext=True).select("video_id", "value")
+    else:
+        with os.scandir(folder) as entries:
+            names = sorted(x.name for x in entries if x.name.startswith("video_id="))
+        found = spark.createDataFrame(names, "string").mapInArrow(_read_texts(folder), "name string, value binary")
+        number = F.substring_index("name", "=", -1)
+        rows = found.select(F.when(number != _NULL, number).alias("video_id"), F.col("value").cast("string").alias("value"))
+    return rows.select(F.col("video_id").cast("bigint").alias("video_id"), F.col("value").alias("content"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cuespark.config import EngineConfig, RetryPolicy
 from cuespark.operators import ranges
 from cuespark.operators.lookup import required_lookup
-from cuespark.plans import infer, run
+from cuespark.plans import infer, queries, run
 from cuespark.plans.captions import captions
 from cuespark.plans.checkpoint import Store, content
 from cuespark.sources import files
@@ -240,3 +240,40 @@ def test_shared_folder(spark):
     for master in ("local-cluster[3,2,1024]", "spark://x:7077", "yarn"):
         with pytest.raises(ValueError):
             files.shared_folder(N(conf=unset, sparkContext=N(master=master)))
+
+
+def test_documents_written_and_read(spark, tmp_path):
+    """The same files' texts by the tasks' own writer as by Spark's, which another file system gets."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.documents.link./out", f"file://{tmp_path}")
+    long = "\n".join(f"line {k} é" for k in range(3000))
+    rows = [(1, "a\nb\n"), (-2, "c"), (3, None), (4, ""), (5, "d\n\n"), (None, "e"), (6, long), (7, "f\r\ng\r")]
+    want = sorted((k or 0, {3: "", None: "e"}.get(k, t or "").removesuffix("\n") + "\n") for k, t in rows)
+    read = lambda path: sorted((r.video_id or 0, r.content) for r in files.read_documents(spark, path).collect())
+    df = spark.createDataFrame(rows, "video_id bigint, content string").repartition(3)
+    for path in (f"file://{tmp_path}/own", "viewfs://documents/out/spark"):
+        files.write_documents(df.selectExpr("video_id", "'old' AS content").union(df.selectExpr("video_id + 90", "'old'")), path)
+        files.write_documents(df, path)
+        assert read(path) == want
+    assert (tmp_path / "own/video_id=1/document.ass").read_bytes() == b"a\nb\n" and sorted(x.name for x in tmp_path.iterdir()) == ["own", "spark"]
+    files.write_documents(df.where("video_id = 4").union(df.where("video_id = -2")).withColumn("video_id", F.lit(9)), f"{tmp_path}/own/")
+    assert sorted((tmp_path / "own/video_id=9/document.ass").read_text().split("\n")) == ["", "", "c"]  # one video's rows make one file
+    with pytest.raises(Exception, match="broken"):
+        files.write_documents(df.select("video_id", F.raise_error(F.lit("broken")).cast("string").alias("content")), f"{tmp_path}/own")
+    assert [k for k, _ in read(f"{tmp_path}/own")] == [9] and len(list(tmp_path.iterdir())) == 2  # what was there stays
+    files.write_documents(df.limit(0), f"{tmp_path}/own")
+    assert read(f"{tmp_path}/own") == []
+
+
+def test_documents_take_no_task_each(spark, tmp_path):
+    """Writing, listing and reading 200 documents take fewer tasks than there are documents."""
+    users, start = 200, "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts"
+    events = spark.range(2 * users).selectExpr("id AS event_id", start, f"id % {users} AS user_id", "'click' AS event_type", "1.0D AS value")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.sparkContext.setJobGroup("documents", "documents")
+    rows = queries.document_files(spark, str(tmp_path)).collect()
+    tracker = spark.sparkContext.statusTracker()
+    stages = {stage for job in tracker.getJobIdsForGroup("documents") for stage in tracker.getJobInfo(job).stageIds}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.video_id, r.n, r.least[:13]) for r in rows) == [(k, 2, "Dialogue: 0,0") for k in range(users)]
+    assert 0 < sum(info.numTasks for info in map(tracker.getStageInfo, stages) if info) < users
