@@ -6,7 +6,8 @@ streams: a partition holds whole videos, sorted, and only the open group's first
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -21,17 +22,21 @@ _OUT = "video_id bigint, seq bigint, start_time double, end_time double, frame s
 
 
 def edge_map(pixels: np.ndarray) -> np.ndarray:
-    """Edges of the top and bottom strips of an RGB image, one above the other: 8-bit grey, 3x3 kernel of 8 and -1, border as it is."""
-    height = pixels.shape[0]
+    """Edges of the top and bottom strips of an RGB image, one above the other: 8-bit grey, 3x3 kernel of 8 and -1, border as it is.
+
+    Of images of one size, stacked along the axes before the last three, the map of each.
+    """
+    height = pixels.shape[-3]
     strip = round(height * STRIP)
     if strip == 0:
         raise ValueError("the image is too low for strips")
-    rgb = np.concatenate((pixels[:strip], pixels[height - strip :])).astype(np.int64)
+    rgb = np.concatenate((pixels[..., :strip, :, :], pixels[..., height - strip :, :, :]), axis=-3).astype(np.int32)
     grey = (19595 * rgb[..., 0] + 38470 * rgb[..., 1] + 7471 * rgb[..., 2] + 32768) >> 16
     out = grey.copy()
-    if grey.shape[0] > 2 and grey.shape[1] > 2:
-        near = sum(grey[1 + y : grey.shape[0] - 1 + y, 1 + x : grey.shape[1] - 1 + x] for y in (-1, 0, 1) for x in (-1, 0, 1))
-        out[1:-1, 1:-1] = np.clip(9 * grey[1:-1, 1:-1] - near, 0, 255)
+    high, wide = grey.shape[-2:]
+    if high > 2 and wide > 2:
+        near = sum(grey[..., 1 + y : high - 1 + y, 1 + x : wide - 1 + x] for y in (-1, 0, 1) for x in (-1, 0, 1))
+        out[..., 1:-1, 1:-1] = np.clip(9 * grey[..., 1:-1, 1:-1] - near, 0, 255)
     return out.astype(np.uint8)
 
 
@@ -71,24 +76,30 @@ def anchored_groups(
     signal: str = "signal",
     load: Callable[[Any], Any] = same,
     difference: Callable[[Any, Any], float] = mean_difference,
+    at_once: int = 0,
 ) -> DataFrame:
     """(video_id, seq, start_time, end_time, frame, n_frames) of each group of frames (video_id, seq, path, timestamp, signal).
 
     load turns a frame's signal (a number, a vector, a path, image bytes) into what difference compares; it
-    runs in the fold, so a path column moves paths, not pixels. A group ends at its last frame's own time. Frames
+    runs in the fold, so a path column moves paths, not pixels. With at_once it gets a list of up to that many signals and
+    returns their values in order, which are held together. A group ends at its last frame's own time. Frames
     without video_id, seq or signal take no part; frames that repeat a seq are compared in any order.
     """
     names = ["video_id", "seq", "path", "timestamp", signal]
     # plain numbers are compared as such, without a call for each row
     numeric = load is same and difference is mean_difference and isinstance(frames.schema[signal].dataType, NumericType)
 
+    def values(signals: list[Any]) -> Iterable[Any]:
+        if numeric:
+            return signals
+        return chain.from_iterable(load(signals[i : i + at_once]) for i in range(0, len(signals), at_once)) if at_once else map(load, signals)
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group: list[Any] | None = None
         anchor: Any = None
         for batch in batches:
             done = []
-            for video, seq, path, time, raw in zip(*(batch[c].tolist() for c in names), strict=True):
-                value = raw if numeric else load(raw)
+            for video, seq, path, time, value in zip(*(batch[c].tolist() for c in names[:-1]), values(batch[signal].tolist()), strict=True):
                 if group is not None and group[0] == video and (abs(anchor - value) if numeric else difference(anchor, value)) <= threshold:
                     group[3] = time
                     group[5] += 1

@@ -336,9 +336,10 @@ def pipeline_end_to_end(spark, sf_dir):
 WIDE, HIGH = 5, 15
 
 
-def _picture(event_id: int) -> np.ndarray:
+def _pictures(event_ids: np.ndarray) -> np.ndarray:
     y, x = np.mgrid[0:HIGH, 0:WIDE]
-    return np.repeat(((event_id * 7 + y * y * 31 + x * 17) % 256)[..., None], 3, axis=2).astype(np.uint8)
+    grey = (event_ids[:, None, None] * 7 + y * y * 31 + x * 17) % 256
+    return np.repeat(grey.astype(np.uint8)[..., None], 3, axis=-1)
 
 
 def edge_maps(spark, sf_dir):
@@ -346,16 +347,16 @@ def edge_maps(spark, sf_dir):
 
     def work(batches):
         for batch in batches:
-            maps = [segment.edge_map(_picture(i)).astype(np.int64) for i in batch["event_id"]]
-            yield pd.DataFrame({"event_id": batch["event_id"], "total": [m.sum() for m in maps], "most": [m.max() for m in maps]})
+            maps = segment.edge_map(_pictures(batch["event_id"].to_numpy())).astype(np.int64)
+            yield pd.DataFrame({"event_id": batch["event_id"], "total": maps.sum(axis=(1, 2)), "most": maps.max(axis=(1, 2))})
 
     return table(spark, sf_dir, "events").select("event_id").mapInPandas(work, "event_id bigint, total bigint, most bigint")
 
 
 def edge_groups(spark, sf_dir):
     """Frames grouped by the edges of their pictures, loaded by path inside the fold."""
-    load = lambda path: segment.edge_map(_picture(int(path.rpartition("/")[2])))
-    groups = segment.anchored_groups(frames(spark, sf_dir).withColumn("file", F.col("path")), 100.0, "file", load, segment.edge_difference)
+    load = lambda paths: segment.edge_map(_pictures(np.array([int(path.rpartition("/")[2]) for path in paths])))
+    groups = segment.anchored_groups(frames(spark, sf_dir).withColumn("file", F.col("path")), 100.0, "file", load, segment.edge_difference, 1000)
     return groups.select("video_id", "seq", "n_frames")
 
 

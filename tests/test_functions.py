@@ -134,6 +134,18 @@ def test_edges():
     assert edge_difference(edge_map(white), edge_map(middle)) == 0
 
 
+def test_edges_of_a_stack():
+    """The maps of many images at once are those of each."""
+    rng = np.random.default_rng(3)
+    for size in ((15, 5), (5, 9), (40, 2), (33, 7)):
+        images = rng.integers(0, 256, (2, 6, *size, 3), np.uint8)
+        got = edge_map(images)
+        assert got.dtype == np.uint8 and got.tolist() == [[edge_map(x).tolist() for x in row] for row in images]
+    assert edge_map(images[:, :0]).shape == (2, 0, 14, 7)
+    with pytest.raises(ValueError):
+        edge_map(np.zeros((20, 2, 5, 3), np.uint8))
+
+
 def test_messages():
     made = HttpClient("m").messages(b"x", "read", "rules")
     assert made[0] == {"role": "system", "content": "rules"} and [p["type"] for p in made[1]["content"]] == ["text", "image_url"]

@@ -61,6 +61,48 @@ def test_segments_compare_with_the_first(spark):
     assert anchored_groups(frames.where("false")).count() == 0
 
 
+def test_signals_loaded_by_lists(spark):
+    """Lists of at most three signals, across videos, give the groups that signals loaded one by one give."""
+    rng = random.Random(8)
+    rows = [(v, k, f"{k}", k / 2, f"{rng.randrange(30)}") for v in (1, 2, 3) for k in range(25)]
+    frames = spark.createDataFrame(rows, "video_id bigint, seq bigint, path string, timestamp double, file string")
+
+    def load(files):
+        if not isinstance(files, list) or not 0 < len(files) <= 3:
+            raise ValueError(f"{files}")
+        return [float(x) for x in files]
+
+    asked = [frames, 8.0, "file"]
+    got = sorted(map(tuple, anchored_groups(*asked, load, at_once=3).collect()))
+    assert got == sorted(map(tuple, anchored_groups(*asked, float).collect())) and 3 < len(got) < 75
+
+
+def test_edge_queries_match_a_loop(spark, tmp_path):
+    """More events than an Arrow batch holds, so that maps are made of full, partial and no batches."""
+    events = spark.range(12000).selectExpr("id * 37 AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "id % 3 AS user_id", "'view' AS event_type", "1.0D AS value")
+    events.repartition(1).write.parquet(f"{tmp_path}/events.parquet")
+
+    def edges(i):
+        grey = [[(i * 7 + y * y * 31 + x * 17) % 256 for x in range(5)] for y in (0, 1, 2, 12, 13, 14)]
+        inner = lambda r, x: 9 * grey[r][x] - sum(grey[r + a][x + b] for a in (-1, 0, 1) for b in (-1, 0, 1))
+        return [grey[r][x] if r in (0, 5) or x in (0, 4) else max(0, min(255, inner(r, x))) for r in range(6) for x in range(5)]
+
+    maps = {37 * k: edges(37 * k) for k in range(12000)}
+    assert {r.event_id: (r.total, r.most) for r in queries.edge_maps(spark, str(tmp_path)).collect()} == {i: (sum(m), max(m)) for i, m in maps.items()}
+    want = []
+    for user in range(3):
+        anchor = None
+        for seq, k in enumerate(range(user, 12000, 3)):
+            m = maps[37 * k]
+            if anchor is None or sum(abs(a - b) for a, b in zip(anchor, m)) / 30 > 100:
+                anchor = m
+                want.append([user, seq, 0])
+            want[-1][2] += 1
+    assert sorted(map(list, queries.edge_groups(spark, str(tmp_path)).collect())) == want
+    events.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert queries.edge_maps(spark, f"{tmp_path}/none").count() == 0 == queries.edge_groups(spark, f"{tmp_path}/none").count()
+
+
 def test_ranges(spark):
     frames = spark.createDataFrame([(x,) for x in (0.0, 0.5, 1.0, 2.0)], "timestamp double")
     ranges = [(0.5, 1.0)]
